@@ -1,0 +1,313 @@
+"""A byte n-gram model with interpolated Kneser-Ney smoothing in an Elias-Fano trie.
+
+Counts cover every byte of every document. A context is read backwards, so the trie of all contexts that end in one
+byte holds all its back-off contexts too; these 256 tries are built and stored apart, in files that scoring tasks
+map into memory. The successors of a context are a subset of those of its back-off context and are stored as ranks
+in that shorter list. Ranges of ranks, pointers and labels are monotone sequences in Elias-Fano form;
+log-probabilities and back-off weights take one byte each. The number of n-grams is bounded by the languages, not by
+the corpus, so the model stays small at any input size.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import uuid
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folio.llm import common as c
+from folio.llm.elias_fano import Sequence, encode
+
+DISCOUNT = 0.75
+_COUNTS = pa.schema([("first", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("bits_per_byte", pa.float64())])
+
+
+def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets, and for each byte its n-gram: the bytes before it, nearest first, then itself. Before a text are zeros."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
+    lengths = np.diff(bounds)
+    at = np.arange(len(raw)) + np.repeat(np.arange(1, len(lengths) + 1) * (order - 1), lengths)
+    padded = np.zeros(len(raw) + len(lengths) * (order - 1), np.uint8)
+    padded[at] = raw
+    out = np.zeros(len(padded), np.int64)
+    for back in range(1, order):
+        out[back:] |= padded[:-back].astype(np.int64) << 8 * (order - back)
+    return np.concatenate([[0], np.cumsum(lengths)]), (out | padded)[at]
+
+
+def _add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+
+
+def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Sums of counts; what is held at a time grows with the distinct n-grams only."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in parts:
+        held.append(part)
+        if sum(len(p[0]) for p in held[1:]) > max(1 << 20, len(held[0][0])):
+            held = [_add_up(held)]
+    return _add_up(held) if held else None
+
+
+def counts(docs: DataFrame, order: int) -> DataFrame:
+    """Every n-gram of the corpus with its count; ``first`` is the byte just before the last."""
+    shards = c.partitions(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for part in c.slices(batch):
+                    yield np.unique(grams(part.column("text"), order)[1], return_counts=True)
+
+        found = _gathered(parts())
+        if found is None or not len(found[0]):
+            return
+        keys, n = found
+        spread = (c.mix((keys >> 8).view(c.U64)) % c.U64(shards)).astype(np.int64)
+        by, bounds = c.split_by(spread, shards)
+        rows = [(s, c.pack(np.diff(keys[m], prepend=0), n[m])) for s in range(shards) if len(m := by[bounds[s] : bounds[s + 1]])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "rows"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for blob in batch.column("rows"):
+                    keys, n = c.unpack(blob.as_py())
+                    yield np.cumsum(keys), n
+
+        found = _gathered(parts())
+        if found is not None:
+            keys, n = found
+            first = (keys >> 8 * (order - 1) & 255).astype(np.int32)
+            for a in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (first, keys, n)], schema=_COUNTS)
+
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    return c.to_shards(texts.mapInArrow(count, "shard int, rows binary"), "shard").mapInArrow(total, "first int, gram long, n long")
+
+
+def _quantised(x: np.ndarray) -> tuple[dict[str, float], np.ndarray]:
+    low, step = float(x.min()), max(float(np.ptp(x)) / 255, 1e-12)
+    return {"low": low, "step": step}, np.rint((x - low) / step).astype(np.uint8)
+
+
+def build(keys: np.ndarray, n: np.ndarray, order: int, root: np.ndarray) -> bytes:
+    """The trie of all contexts that end in one byte. keys: its n-grams, ascending; root: probabilities of each byte."""
+    grams_of, values = {order - 1: keys}, {order - 1: n}
+    for k in range(order - 2, 0, -1):
+        longer = grams_of[k + 1]
+        shorter = longer >> 16 << 8 | longer & 255  # without the farthest byte of the context
+        grams_of[k], values[k] = np.unique(shorter, return_counts=True)
+    heads: list[dict] = []
+    blobs: list[np.ndarray] = []
+
+    def put(head: dict, arrays: list[np.ndarray]) -> None:
+        heads.append(head | {"arrays": [[a.dtype.str, len(a)] for a in arrays]})
+        blobs.extend(arrays)
+
+    def ranged(begin: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Values that rise inside each range, made monotone: each range starts from the last value before it."""
+        last = np.append(begin[1:], len(inside)) - 1
+        base = np.concatenate([[0], np.cumsum(inside[last])[:-1]])
+        return inside + np.repeat(base, np.diff(np.append(begin, len(inside))))
+
+    ranks = np.flatnonzero(root[256:] > 0)
+    parent_grams, parent_p = None, root[:256]
+    parent_ids = np.zeros(1, np.int64)
+    for k in range(1, order):
+        g, v = grams_of[k], values[k].astype(np.float64)
+        context, word = g >> 8, g & 255
+        begin = np.flatnonzero(np.diff(context, prepend=-1))
+        sizes = np.diff(np.append(begin, len(g)))
+        node = np.repeat(np.arange(len(begin)), sizes)
+        ids = context[begin]
+        if k == 1:
+            rank, lower = np.searchsorted(ranks, word), parent_p[word]
+            children, labels = np.zeros(1, np.int64), ids[:1] & 0
+        else:
+            up = np.searchsorted(parent_grams, context >> 8 << 8 | word)
+            above = parent_grams >> 8
+            start = np.flatnonzero(np.diff(above, prepend=-1))
+            rank, lower = up - start[np.searchsorted(above[start], context >> 8)], parent_p[up]
+            children = np.searchsorted(ids >> 8, parent_ids)
+            labels = ids & 255
+        total = np.add.reduceat(v, begin)
+        back = DISCOUNT * sizes / total
+        p = np.maximum(v - DISCOUNT, 0) / total[node] + back[node] * lower
+        put(*encode(np.append(children, len(ids))))
+        put(*encode(ranged(children, labels)))
+        put(*encode(np.append(begin, len(g))))
+        put(*encode(ranged(begin, rank)))
+        for x in (p, back):
+            head, code = _quantised(np.log2(x))
+            put(head, [code])
+        parent_grams, parent_p, parent_ids = g, p, ids
+    head = json.dumps(heads).encode()
+    out = [np.array([len(head)], "<u8").tobytes(), head]
+    at = 8 + len(head)
+    for a in blobs:
+        pad = -at % 8
+        out += [bytes(pad), a.tobytes()]
+        at += pad + a.nbytes
+    return b"".join(out)
+
+
+class Trie:
+    def __init__(self, path: str) -> None:
+        raw = np.memmap(path, np.uint8, "r")
+        size = int(raw[:8].view("<u8")[0])
+        at = 8 + size
+        parts = []
+        for head in json.loads(raw[8:at].tobytes()):
+            arrays = []
+            for kind, n in head["arrays"]:
+                at += -at % 8
+                end = at + n * np.dtype(kind).itemsize
+                arrays.append(raw[at:end].view(kind))
+                at = end
+            parts.append((head, arrays))
+        self.levels = [[Sequence(*x) for x in parts[i : i + 4]] + parts[i + 4 : i + 6] for i in range(0, len(parts), 6)]
+
+    def log2(self, keys: np.ndarray, order: int, rank: np.ndarray, logp: np.ndarray) -> np.ndarray:
+        """keys: n-grams, ascending; rank and logp: of the last byte without context (rank -1: never seen)."""
+        logp, rank = logp.copy(), rank.astype(np.int64)
+        context, node = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        live = np.arange(len(keys))  # whose context is in the trie
+        for k, (pointers, labels, starts, ranks, (ph, (pcode,)), (bh, (bcode,))) in enumerate(self.levels, 1):
+            context = keys[live] >> 8 * (order - k)
+            fresh = np.diff(context, prepend=-1) != 0
+            of = np.cumsum(fresh) - 1
+            if k == 1:
+                found = np.zeros(int(fresh.sum()), np.int64)
+            else:
+                parent = node[live[fresh]]
+                found = self._find(pointers.get(parent), pointers.get(parent + 1), labels, (context[fresh] & 255))
+            known = found[of] >= 0
+            live, of = live[known], of[known]
+            if not len(live):
+                break
+            node[live] = found[of]
+            nodes, inverse = np.unique(node[live], return_inverse=True)
+            begin, end = starts.get(nodes).astype(np.int64)[inverse], starts.get(nodes + 1).astype(np.int64)[inverse]
+            weight = bh["low"] + bh["step"] * bcode[node[live]]
+            hit = np.full(len(live), -1, np.int64)
+            seen = np.flatnonzero(rank[live] >= 0)
+            hit[seen] = self._find(begin[seen], end[seen], ranks, rank[live[seen]])
+            logp[live] = np.where(hit >= 0, ph["low"] + ph["step"] * pcode[np.maximum(hit, 0)], logp[live] + weight)
+            rank[live] = np.where(hit >= 0, hit - begin, -1)
+        return logp
+
+    @staticmethod
+    def _find(begin: np.ndarray, end: np.ndarray, within: Sequence, target: np.ndarray) -> np.ndarray:
+        """The index in each range whose value, less the last value before the range, is target; -1 if none is."""
+        begin, end = begin.astype(np.int64), end.astype(np.int64)
+        base = np.where(begin > 0, within.get(np.maximum(begin - 1, 0)), c.U64(0))
+        value = target.astype(np.uint64) + base
+        at = within.successor(begin, end, value)
+        inside = np.flatnonzero(at < end)
+        out = np.full(len(at), -1, np.int64)
+        equal = within.get(at[inside]) == value[inside]
+        out[inside[equal]] = at[inside[equal]]
+        return out
+
+
+@lru_cache(maxsize=4)
+def _tries(folder: str) -> dict[int, Trie]:
+    return {int(x[:-5]): Trie(f"{folder}/{x}") for x in os.listdir(folder) if x.endswith(".trie")}
+
+
+class Model:
+    """A trained model: the folder of its tries and the distribution of single bytes."""
+
+    def __init__(self, folder: str, order: int, root: np.ndarray) -> None:
+        self.folder, self.order, self.root = folder, order, root
+
+    def log2(self, keys: np.ndarray) -> np.ndarray:
+        """log2 P(last byte | the bytes before it) for n-grams in ascending order."""
+        ranks = np.where(self.root[256:] > 0, np.cumsum(self.root[256:] > 0) - 1, -1)
+        out = np.log2(self.root[:256])[keys & 255]
+        first = keys >> 8 * (self.order - 1)
+        for byte, trie in _tries(self.folder).items():
+            a, b = np.searchsorted(first, [byte, byte + 1])
+            if b > a:
+                out[a:b] = trie.log2(keys[a:b], self.order, ranks[keys[a:b] & 255], out[a:b])
+        return out
+
+
+def train(docs: DataFrame, order: int = 5) -> Model:
+    """Count, smooth and store a model of ``order`` bytes (2 to 7) in the shared folder.
+
+    Null and empty texts add nothing; repeated rows count each time; other columns are ignored. A model of an
+    empty table gives every byte the probability 1/256.
+    """
+    if not 2 <= order <= 7:
+        raise ValueError("order must be from 2 to 7")
+    spark = docs.sparkSession
+    table = c.keep(counts(docs, order), "ngrams")
+    follow = table.select("first", (F.col("gram").bitwiseAND(255)).alias("last")).distinct().groupBy("last").count().collect()
+    kinds = np.zeros(256)
+    for row in follow:
+        kinds[row["last"]] = row["count"]
+    total = max(1.0, kinds.sum())
+    uniform = DISCOUNT * (kinds > 0).sum() / total if follow else 1.0
+    root = np.concatenate([np.maximum(kinds - DISCOUNT, 0) / total + uniform / 256, kinds])
+    folder = c.local_path(c.fresh_dir(spark, "ngram-model"))
+    os.makedirs(folder, exist_ok=True)
+
+    def store(group: pa.Table) -> pa.Table:
+        group = group.sort_by("gram")
+        byte = int(group.column("first")[0].as_py())
+        data = build(group.column("gram").to_numpy(), group.column("n").to_numpy(), order, root)
+        # a task that runs again leaves the same file
+        part = f"{folder}/{byte}.{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            f.write(data)
+        os.replace(part, f"{folder}/{byte}.trie")
+        return pa.table({"first": pa.array([byte], pa.int32()), "size": pa.array([len(data)], pa.int64())})
+
+    table.groupBy("first").applyInArrow(store, "first int, size long").agg(F.sum("size")).collect()
+    return Model(folder, order, root)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_bytes and bits_per_byte (mean negative log2 probability of a byte) of every row.
+
+    An empty text has 0 bytes and null bits; a null text has null for both; a null doc_id stays null. Repeated rows
+    are scored each; other columns are ignored. Bytes never seen in training fall back to a share of 1/256.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, logs = np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            for part in c.slices(batch):
+                offsets, keys = grams(part.column("text"), model.order)
+                codes, distinct = pd.factorize(keys)
+                at = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
+                new = np.sort(distinct[known[at] != distinct]) if len(known) else np.sort(distinct)
+                if len(new):
+                    merged = np.concatenate([known, new])
+                    order = np.argsort(merged, kind="stable")
+                    known, logs = merged[order], np.concatenate([logs, model.log2(new)])[order]
+                bits = logs[np.searchsorted(known, distinct)][codes] if len(keys) else np.zeros(0)
+                n = np.diff(offsets)
+                sums = np.zeros(len(n))
+                if (n > 0).any():
+                    sums[n > 0] = np.add.reduceat(bits, offsets[:-1][n > 0])
+                absent = pc.is_null(part.column("text")).to_numpy(zero_copy_only=False)
+                mean = pa.array(-sums / np.maximum(n, 1), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64(), mask=absent), mean], schema=_SCORES)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, bits_per_byte double")

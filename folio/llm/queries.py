@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import block_anchors, suffix_family
+from folio.llm import bbit_minhash, block_anchors, ngram_lm, suffix_family
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # workers import this package from where the driver has it
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return ngram_lm.score(documents, ngram_lm.train(documents, order=5))
+
+
+def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit_minhash.groups(table(spark, sf_dir, "documents"), threshold=0.5)
+
+
 def op3_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_anchors.repeated_spans(table(spark, sf_dir, "documents"), min_words=50)
 
@@ -24,7 +36,7 @@ def op4_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_block_anchors, op4_suffix_family)}
+    return {f.__name__: f for f in (op1_ngram_lm, op2_bbit_minhash, op3_block_anchors, op4_suffix_family)}
 
 
 def oracle_sql() -> dict[str, str]:
