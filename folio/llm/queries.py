@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bbit_minhash, block_anchors, ngram_lm, suffix_family
+from folio.llm import bbit_minhash, block_anchors, ngram_lm, suffix_family, token_blocks, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,8 +35,17 @@ def op4_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_family.repeated_spans(table(spark, sf_dir, "documents"), min_words=50)
 
 
+def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.encode(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_lm, op2_bbit_minhash, op3_block_anchors, op4_suffix_family)}
+    return {f.__name__: f for f in (op1_ngram_lm, op2_bbit_minhash, op3_block_anchors, op4_suffix_family, op5_token_blocks, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
