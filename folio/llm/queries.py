@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bbit_minhash, block_anchors, ngram_lm, suffix_family, token_blocks, toxicity
+from folio.llm import bbit_minhash, best_fit, block_anchors, ngram_lm, pivot_index, pivotal_mix, suffix_family, token_blocks, toxicity, voronoi_knn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,14 +39,47 @@ def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.encode(table(spark, sf_dir, "documents"))
 
 
+def op6_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivotal_mix.copies(table(spark, sf_dir, "documents"), alpha=0.7)
+
+
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.packed(table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op10_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_knn.neighbours(table(spark, sf_dir, "embeddings"), k=10)
+
+
+_VECTORS = """
+    raw AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+    v AS (SELECT vec_id, min(embedding)::DOUBLE[] AS e FROM raw
+          WHERE len(embedding) = (SELECT len(embedding) FROM raw GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)
+          GROUP BY vec_id)"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_lm, op2_bbit_minhash, op3_block_anchors, op4_suffix_family, op5_token_blocks, op9_toxicity)}
+    found = (
+        op1_ngram_lm, op2_bbit_minhash, op3_block_anchors, op4_suffix_family, op5_token_blocks,
+        op6_pivot_index, op7_pivotal_mix, op8_best_fit, op9_toxicity, op10_voronoi_knn,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_voronoi_knn": f"""
+    WITH {_VECTORS},
+    p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) AS rank FROM p)
+    SELECT query_id, neighbor_id, rank::INTEGER AS rank, round(d, 6) AS distance FROM r WHERE rank <= 10""",
+    }
