@@ -325,7 +325,7 @@ class Collection:
         variants = [f.name for f in m.struct if isinstance(f.dataType, T.VariantType)]
         plain = T.StructType([T.StructField(f.name, T.StringType() if f.name in variants else f.dataType) for f in m.struct])
         data = [tuple(codec.fitted(r.get(f.name), f.dataType) for f in m.struct) for r in rows]
-        df = self.spark.createDataFrame(data, plain)
+        df = self.spark.createDataFrame(data, plain).coalesce(1 + len(data) // 100_000)
         return m, df.select(*[F.parse_json(f).alias(f) if f in variants else F.col(f) for f in m.struct.names])
 
     def _with_schema(self, m: Manifest, schema: T.StructType) -> Manifest:
