@@ -1,0 +1,99 @@
+"""The n-gram model against interpolated Kneser-Ney in plain Python; Elias-Fano against arrays."""
+
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from folio.llm import ngram_lm as lm
+from folio.llm.elias_fano import Sequence, encode
+
+
+class Brute:
+    def __init__(self, texts, order):
+        self.order = order
+        top = Counter()
+        for b in texts:
+            padded = bytes(order - 1) + b
+            top.update(padded[i - order + 1 : i + 1] for i in range(order - 1, len(padded)))
+        self.count = {order - 1: top}
+        for k in range(order - 2, -1, -1):
+            self.count[k] = Counter(g[1:] for g in self.count[k + 1])
+        self.total, self.kinds = {}, {}
+        for k, grams in self.count.items():
+            self.total[k], self.kinds[k] = Counter(), Counter()
+            for g, v in grams.items():
+                self.total[k][g[:-1]] += v
+                self.kinds[k][g[:-1]] += 1
+
+    def p(self, gram, k):
+        if k < 0:
+            return 1 / 256
+        gram = gram[-(k + 1) :]
+        low, total = self.p(gram, k - 1), self.total[k][gram[:-1]]
+        if not total:
+            return low
+        return max(self.count[k][gram] - lm.DISCOUNT, 0) / total + lm.DISCOUNT * self.kinds[k][gram[:-1]] / total * low
+
+    def bits(self, b):
+        padded = bytes(self.order - 1) + b
+        return -sum(math.log2(self.p(padded[i - self.order + 1 : i + 1], self.order - 1)) for i in range(self.order - 1, len(padded))) / len(b)
+
+
+TEXTS = ["the cat sat on the mat", "the dog sat on the log", "ñandú über straße", "aaaa", "a", "", None, "the the the"]
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_against_plain_python(spark, order):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    model = lm.train(df, order)
+    brute = Brute([t.encode() for t in TEXTS if t], order)
+    new = [(100, "the bat"), (101, "☃ never seen ☃"), (102, "\x00 zero"), (None, "sat"), (103, None), (104, "")]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(list(enumerate(TEXTS)) + new, "doc_id long, text string"), model).collect()}
+    assert len(got) == len(TEXTS) + len(new)
+    for i, t in [*enumerate(TEXTS), *new]:
+        r = got[i]
+        if t is None:
+            assert r.n_bytes is None and r.bits_per_byte is None
+        elif t == "":
+            assert r.n_bytes == 0 and r.bits_per_byte is None
+        else:
+            assert r.n_bytes == len(t.encode()) and abs(r.bits_per_byte - brute.bits(t.encode())) < 0.04
+
+
+def test_probabilities_sum_to_one(spark):
+    model = lm.train(spark.createDataFrame([(t,) for t in TEXTS], "text string"), 3)
+    for context in (b"th", b"at", b"\x00\x00", b"zz"):
+        keys = np.array([context[1] << 16 | context[0] << 8 | w for w in range(256)], np.int64)
+        assert abs((2 ** model.log2(keys)).sum() - 1) < 0.05
+
+
+def test_empty_table_and_bad_order(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, n long")
+    model = lm.train(df, 4)
+    assert lm.score(df, model).count() == 0
+    assert lm.score(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), model).first().bits_per_byte == 8.0
+    with pytest.raises(ValueError):
+        lm.train(df, 1)
+
+
+def test_counts_cover_every_byte(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(50, "long text " * 40_000)], "doc_id long, text string")
+    assert lm.counts(df, 5).agg({"n": "sum"}).first()[0] == sum(len((t or "").encode()) for t in TEXTS) + 400_000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**40), min_size=1, max_size=200), st.lists(st.tuples(st.integers(0, 200), st.integers(0, 200), st.integers(0, 2**40)), max_size=20))
+def test_elias_fano(values, searches):
+    v = np.sort(np.array(values, np.uint64))
+    s = Sequence(*encode(v))
+    assert (s.get(np.arange(len(v))) == v).all()
+    if searches:
+        a, b, t = (np.array(x) for x in zip(*searches))
+        a, b = np.minimum(a, len(v)), np.minimum(b, len(v))
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        want = [x + np.searchsorted(v[x:y], np.uint64(z)) for x, y, z in zip(lo, hi, t)]
+        assert s.successor(lo, hi, t.astype(np.uint64)).tolist() == want
