@@ -168,7 +168,8 @@ def first_of_each(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Of rows that repeat a doc_id one stays, the first by text; rows with a null doc_id all stay.
     """
-    gone = groups(docs, threshold).where("NOT keep").select(F.col("doc_id").alias("__gone"))
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone_name, row_name = c.unused(docs, "__gone"), c.unused(docs, "__row")
+    gone = groups(docs, threshold).where("NOT keep").select(F.col("doc_id").alias(gone_name))
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col(gone_name), "left_anti")
     order = Window.partitionBy("doc_id").orderBy("text")
-    return left.withColumn("__row", F.row_number().over(order)).where("doc_id IS NULL OR __row = 1").select(*docs.columns)
+    return left.withColumn(row_name, F.row_number().over(order)).where(F.col("doc_id").isNull() | (F.col(row_name) == 1)).drop(row_name)

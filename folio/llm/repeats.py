@@ -160,15 +160,16 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     ``n_chars`` follows the text where a text changes. Rows without doc_id or text stay as they are. Columns other
     than doc_id, text and n_chars pass through.
     """
-    per = spans.groupBy(F.col("doc_id").alias("__doc"), F.col("n_words").alias("__words")).agg(F.collect_list(F.struct("start_word", "length")).alias("__cut"))
-    per = per.groupBy("__doc").agg(F.collect_list(F.struct("__words", "__cut")).alias("__cuts"))
-    joined = docs.join(per, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    doc_name, cuts_name = c.unused(docs, "__doc"), c.unused(docs, "__cuts")
+    per = spans.groupBy(F.col("doc_id").alias(doc_name), F.col("n_words").alias("__words")).agg(F.collect_list(F.struct("start_word", "length")).alias("__cut"))
+    per = per.groupBy(doc_name).agg(F.collect_list(F.struct("__words", "__cut")).alias(cuts_name))
+    joined = docs.join(per, F.col("doc_id").cast("long") == F.col(doc_name), "left").drop(doc_name)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts = batch.column("__cuts")
-            names = [n for n in batch.schema.names if n != "__cuts"]
+            cuts = batch.column(cuts_name)
+            names = [n for n in batch.schema.names if n != cuts_name]
             touched = np.flatnonzero(pc.is_valid(cuts).to_numpy(zero_copy_only=False))
             plain = batch.select(names)
             if not len(touched):
