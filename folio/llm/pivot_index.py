@@ -2,8 +2,9 @@
 
 A vector is described by the ordered list of its nearest pivots. The inverted lists are kept for pairs of pivots:
 two vectors that share at least two pivots of their lists meet in the list of a shared pair, and the number of shared
-pivots is counted there. What meets is verified by its cosine. The pivots number 2 sqrt(n), so lists keep their
-length as the table grows, and the broadcast grows with its square root.
+pivots is counted there. What meets is verified by its cosine. The pivots number 2 sqrt(n) at most, so the broadcast
+grows with the square root of the table. No two pivots lie within twice the angle of the threshold: a dense group of
+near copies has one pivot or few, which all its members list, and not many among which noise would choose.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from folio.llm import common as c
 from folio.llm import vectors as v
 
 NEAREST = 6
+_CANDIDATES = 4
 _BLOCK = 1 << 21
+_CHUNK = 1 << 16
 _PAIRS = pa.schema([("vec_a", pa.int64()), ("vec_b", pa.int64()), ("similarity", pa.float64()), ("shared", pa.int32())])
 
 
@@ -36,9 +39,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, nearest: int
     shards = c.partitions(spark)
     rows = c.keep(v.valid(embeddings).where(F.exists("v", lambda x: x != 0)), "vectors")
     n = rows.count()
-    anchors = v.pivots(rows, n_pivots or max(8, math.ceil(2 * math.sqrt(n))))
+    count = n_pivots or max(8, math.ceil(2 * math.sqrt(n)))
+    anchors = v.pivots(rows, _CANDIDATES * count)
     if len(anchors):
-        anchors = anchors / np.linalg.norm(anchors, axis=1, keepdims=True)
+        anchors = _apart(anchors / np.linalg.norm(anchors, axis=1, keepdims=True), count, max(2 * threshold**2 - 1, 0.5))
     shared = spark.sparkContext.broadcast(anchors.astype(np.float32))
     width = min(nearest, len(anchors))
     pairs = np.array(list(combinations(range(width), 2)), np.int64).reshape(-1, 2) if width > 1 else None
@@ -88,20 +92,20 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, nearest: int
                 some = rows[start : start + step]
                 # the matrix product may round below the threshold what the exact sum does not
                 i, j = np.nonzero(x[some] @ x[rows].T >= threshold - 1e-4)
-                i, j = i[i + start < j], j[i + start < j]
-                if not len(i):
-                    continue
-                one, two = some[i], rows[j]
-                same = near[one][:, :, None] == near[two][:, None, :]
-                mine = key[a] == _least_shared(near[one], same.any(axis=2), len(shared.value))
-                one, two, same = one[mine], two[mine], same[mine]
-                cos = np.round(np.einsum("ij,ij->i", x[one].astype(np.float64), x[two].astype(np.float64)), 6)
-                ok = cos >= threshold
-                found.append((ids[one[ok]], ids[two[ok]], cos[ok], same[ok].sum(axis=(1, 2)).astype(np.int32)))
-                held += int(ok.sum())
-            if held > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in zip(*found)], schema=_PAIRS)
-                found, held = [], 0
+                after = i + start < j
+                i, j = i[after], j[after]
+                for at in range(0, len(i), _CHUNK):
+                    one, two = some[i[at : at + _CHUNK]], rows[j[at : at + _CHUNK]]
+                    same = near[one][:, :, None] == near[two][:, None, :]
+                    mine = key[a] == _least_shared(near[one], same.any(axis=2), len(shared.value))
+                    one, two, same = one[mine], two[mine], same[mine]
+                    cos = np.round(np.einsum("ij,ij->i", x[one].astype(np.float64), x[two].astype(np.float64)), 6)
+                    ok = cos >= threshold
+                    found.append((ids[one[ok]], ids[two[ok]], cos[ok], same[ok].sum(axis=(1, 2)).astype(np.int32)))
+                    held += int(ok.sum())
+                    if held > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in zip(*found)], schema=_PAIRS)
+                        found, held = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in zip(*found)], schema=_PAIRS)
 
@@ -109,6 +113,16 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, nearest: int
     return described.mapInArrow(verify, "vec_a long, vec_b long, similarity double, shared int")
 
 
+def _apart(unit: np.ndarray, count: int, limit: float) -> np.ndarray:
+    """The first ``count`` unit vectors whose cosines to all that were taken before are below ``limit``."""
+    taken, n = np.empty((count, unit.shape[1])), 0
+    for x in unit:
+        if n < count and (not n or (taken[:n] @ x).max() < limit):
+            taken[n] = x
+            n += 1
+    return taken[:n]
+
+
 def _least_shared(near: np.ndarray, is_shared: np.ndarray, count: int) -> np.ndarray:
     """The least key of a pair's shared pivots; the pair is reported from that list only."""
     if near.shape[1] < 2:

@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from folio.llm import pivot_index, voronoi_knn
@@ -78,3 +80,18 @@ def test_near_duplicate_recall(spark, noise):
     got = {(r.vec_a, r.vec_b) for r in rows}
     assert len(rows) == len(got) and got <= want and len(got & want) >= 0.9 * len(want) and len(want) > 400
     assert all(abs(r.similarity - sim[r.vec_a, r.vec_b]) < 1e-5 and r.shared >= 2 for r in rows)
+
+
+def test_near_duplicate_recall_in_a_dense_group(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=64)
+    x = rng.normal(size=(20_000, 64))
+    x[:2000] = centre + rng.normal(size=(2000, 64)) * 0.14
+    x = x.astype(np.float32)
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(float)
+    want = np.triu(unit @ unit.T >= 0.95, 1).sum()
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), tmp_path / "x.parquet")
+    df = spark.read.parquet(str(tmp_path / "x.parquet"))
+    found = pivot_index.near_duplicates(df, 0.95)
+    row = found.selectExpr("count(*) AS n", "count(DISTINCT vec_a, vec_b) AS pairs", "min(similarity) AS least").first()
+    assert want > 1_900_000 and row.n == row.pairs and row.least >= 0.95 and 0.9 * want <= row.n <= want + 100
