@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bbit_minhash, best_fit, block_anchors, ngram_lm, pivot_index, pivotal_mix, suffix_family, token_blocks, toxicity, voronoi_knn
+from folio.llm import bbit_minhash, best_fit, block_anchors, pivot_index, pivotal_mix, suffix_family, token_blocks, toxicity, voronoi_knn, word_lm
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return ngram_lm.score(documents, ngram_lm.train(documents, order=5))
+    return word_lm.score(documents, word_lm.train(documents, order=5))
 
 
 def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
