@@ -128,6 +128,33 @@ add("limit_zero", lambda t: q(t("orders"), "o_orderkey").limit(0).df(), "SELECT
 add("filter_none_sorted", lambda t: q(t("orders"), "o_orderkey").where("o_orderstatus").equals("none").sort_by("o_totalprice").df(), "SELECT * FROM orders WHERE false")
 add("sort_only", lambda t: q(labelled(t), "doc_id").where("quality").always_true().sort_by("quality").limit(40).df(), f"SELECT * FROM {_DL} WHERE quality IS NOT NULL ORDER BY quality, doc_id LIMIT 40")
 
+
+
+# whole sorts: every row with its position
+def ranked(x: Query) -> DataFrame:
+    """All rows of a sorted query and ``rank``, their position from 1. No task holds more than its range of the order."""
+    df = x.df()
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    df.withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark.read.parquet(path).withColumn("__part", F.shiftright("__at", 33))
+    firsts, at = [], 1
+    for r in kept.groupBy("__part").count().orderBy("__part").collect():
+        firsts.append((r["__part"], at))
+        at += r["count"]
+    known = F.broadcast(spark.createDataFrame(firsts, "__part long, __first long"))
+    return kept.join(known, "__part").withColumn("rank", F.col("__first") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "__first")
+
+
+def _whole(name: str, build: Callable[[Tables], Query], source: str, order: str) -> None:
+    add(name, lambda t: ranked(build(t)), f"SELECT *, row_number() OVER (ORDER BY {order}) AS rank FROM {source}")
+
+
+_whole("sort_asc_all", lambda t: q(t("orders"), "o_orderkey").sort_by("o_orderpriority"), "orders", "o_orderpriority, o_orderkey")
+_whole("sort_desc_ties_all", lambda t: q(t("orders"), "o_orderkey").sort_by("o_orderpriority", descending=True), "orders", "o_orderpriority DESC, o_orderkey DESC")
+_whole("sort_nulls_last_all", lambda t: q(labelled(t), "doc_id").sort_by("quality"), _DL, "quality ASC NULLS LAST, doc_id")
+_whole("sort_desc_nulls_last_all", lambda t: q(labelled(t), "doc_id").sort_by("quality", descending=True), _DL, "quality DESC NULLS LAST, doc_id DESC")
+_whole("sort_only_all", lambda t: q(labelled(t), "doc_id").where("quality").always_true().sort_by("quality"), f"{_DL} WHERE quality IS NOT NULL", "quality, doc_id")
+
 # aggregates
 add("count_where", lambda t: aggregates.count(q(t("orders"), "o_orderkey").where("o_orderstatus").equals("F").df()), "SELECT count(*) AS count FROM orders WHERE o_orderstatus = 'F'")
 add("count_paginated", lambda t: aggregates.count(q(t("orders"), "o_orderkey").where("o_orderstatus").equals("F").skip(5).limit(7).df()), "SELECT count(*) AS count FROM (SELECT 1 FROM orders WHERE o_orderstatus = 'F' LIMIT 7 OFFSET 5)")

@@ -33,6 +33,13 @@ def test_same_as_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=repr)
 
 
+@pytest.mark.parametrize("name, table", [("sort_asc_all", "orders"), ("sort_desc_ties_all", "orders"), ("sort_nulls_last_all", "documents"), ("sort_desc_nulls_last_all", "documents"), ("sort_only_all", "labels")])
+def test_whole_sorts_return_every_row(spark, duck, name, table):
+    ranks = [r["rank"] for r in catalogue.queries()[name](spark, SF).collect()]
+    n = duck.execute(f"SELECT count(*) FROM {table}" + " WHERE quality IS NOT NULL" * (table == "labels")).fetchone()[0]
+    assert sorted(ranks) == list(range(1, n + 1))
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).columns
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
