@@ -28,7 +28,7 @@ _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
 _BAND = _rng.integers(0, 1 << 63, _ROWS, dtype=np.uint64) | c.U64(1)
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _strip = re.compile(r"[\W_]+").sub
 
 
@@ -87,7 +87,7 @@ def similarity(one: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, the packed signature and the band keys of every document that has words."""
+    """doc_id, a hash of the text, the packed signature and the band keys of every document that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,9 +100,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1)))
                 width = pa.array(np.arange(0, sig.size + 1, sig.shape[1]), pa.int32())
                 packed = pa.Array.from_buffers(pa.binary(), len(sig), [None, width.buffers()[1], pa.py_buffer(np.ascontiguousarray(sig).tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(pa.array(some)), packed, bands], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([*(part.column(k).filter(pa.array(some)) for k in ("doc_id", "text_hash")), packed, bands], schema=_SIGNED)
 
-    return searched(docs).mapInArrow(run, "doc_id long, sig binary, bands array<long>")
+    return searched(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, sig binary, bands array<long>")
 
 
 def links(ids: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
@@ -133,7 +133,10 @@ def groups(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     document if their signatures are equal and else join the groups of each; other columns are ignored; an empty
     table has no groups.
     """
-    signed = c.keep(signatures(docs), "minhash")
+    return _groups(c.keep(signatures(docs), "minhash"), threshold)
+
+
+def _groups(signed: DataFrame, threshold: float) -> DataFrame:
     # documents with the same minima throughout are one candidate
     same = c.keep(signed.groupBy("sig", "bands").agg(F.min("doc_id").alias("rep"), F.collect_set("doc_id").alias("members")), "minhash-same")
     buckets = (
@@ -164,12 +167,19 @@ def groups(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One document of each near-duplicate group and all documents in none.
+    """One row of each near-duplicate group and all rows in none.
 
-    Of rows that repeat a doc_id one stays, the first by text; rows with a null doc_id all stay.
+    Rows that repeat a doc_id with another text are documents of their own; of rows that repeat both one stays. Rows
+    with a null doc_id all stay.
     """
-    gone_name, row_name = c.unused(docs, "__gone"), c.unused(docs, "__row")
-    gone = groups(docs, threshold).where("NOT keep").select(F.col("doc_id").alias(gone_name))
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col(gone_name), "left_anti")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    return left.withColumn(row_name, F.row_number().over(order)).where(F.col("doc_id").isNull() | (F.col(row_name) == 1)).drop(row_name)
+    signed = c.keep(signatures(docs), "minhash")
+    numbered = signed.select("doc_id", "text_hash").distinct().orderBy("doc_id", "text_hash")
+    units = c.keep(numbered.withColumn("unit", F.monotonically_increasing_id()), "minhash-rows")
+    found = _groups(signed.join(units, ["doc_id", "text_hash"]).select(F.col("unit").alias("doc_id"), "sig", "bands"), threshold)
+    gone_name, hash_name, row_name = c.unused(docs, "__gone"), c.unused(docs, "__hash"), c.unused(docs, "__row")
+    gone_hash = c.unused(docs, "__gone_hash")
+    gone = found.where("NOT keep").select(F.col("doc_id").alias("unit")).join(units, "unit").select(F.col("doc_id").alias(gone_name), F.col("text_hash").alias(gone_hash))
+    hashed = docs.withColumn(hash_name, F.xxhash64(F.col("text").cast("string")))
+    left = hashed.join(gone, (F.col("doc_id").cast("long") == F.col(gone_name)) & (F.col(hash_name) == F.col(gone_hash)), "left_anti")
+    order = Window.partitionBy("doc_id", hash_name, "text").orderBy(hash_name)
+    return left.withColumn(row_name, F.row_number().over(order)).where(F.col("doc_id").isNull() | (F.col(row_name) == 1)).drop(row_name, hash_name)

@@ -111,3 +111,10 @@ def test_components(spark, seed):
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted((r.node, r.component) for r in got) == sorted((x, root(x)) for x in parent)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_of_one_doc_id_are_judged_by_their_own_texts(spark):
+    other = "seven eight nine ten eleven twelve"
+    rows = [(1, "one two three four five six"), (2, None), (2, ""), (2, other), (3, "one two three four five six"), (3, "a text of its own for this row"), (3, "a text of its own for this row"), (4, other)]
+    left = mh.first_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted({rows[0], rows[1], rows[2], rows[3], rows[5]}, key=repr)
