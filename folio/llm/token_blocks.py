@@ -11,6 +11,7 @@ places (u8 each) and their high parts (u32 each).
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +27,10 @@ from folio.llm import common as c
 BLOCK, HEAD = 128, 7
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: a run of white space (Unicode's White_Space, as in the pattern) that the pattern's look-ahead could not walk back over
+_RUN = 1000
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_long_runs = re.compile(f"(?<![{_SPACE}])[{_SPACE}]{{{_RUN},}}").finditer
 _NONE = np.zeros(0, np.uint32)
 _ROWS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("starts", pa.list_(pa.int32())), ("data", pa.binary())])
 
@@ -37,10 +42,25 @@ def encoding(path: str = TOKENIZER) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def text_ids(enc: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The ids of one text. Long runs of white space, on which the pattern fails, are cut out as it would cut them:
+    all of a run at the end of a text is one piece; elsewhere its last character belongs to what follows."""
+    if len(text) < _RUN:
+        return enc.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+    parts, at = [], 0
+    for m in _long_runs(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        parts.append(enc.encode_to_numpy(text[at : m.start()], allowed_special=set(), disallowed_special=()))
+        parts.append(np.array(enc._encode_single_piece(text[m.start() : end]), np.uint32))
+        at = end
+    parts.append(enc.encode_to_numpy(text[at:], allowed_special=set(), disallowed_special=()))
+    return np.concatenate(parts)
+
+
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and the ids of all texts; strings of special tokens are ordinary text."""
     enc = encoding(path)
-    found = [enc.encode_to_numpy(t, allowed_special=set(), disallowed_special=()) if t else _NONE for t in texts.to_pylist()]
+    found = [text_ids(enc, t) if t else _NONE for t in texts.to_pylist()]
     offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]).astype(np.int64)
     return offsets, np.concatenate(found) if found else _NONE
 
@@ -117,8 +137,9 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, percentile: float = 0.9)
     """doc_id, n_tokens, starts (of the blocks in data) and data of every row.
 
     A null text gives null n_tokens, starts and data; an empty one 0 tokens, no starts, empty data; a null doc_id stays
-    null. Text is encoded as it stands, so strings of special tokens are ordinary text. Repeated rows are
-    encoded each; other columns are ignored.
+    null. Text is encoded as it stands, so strings of special tokens are ordinary text. A text of any length is encoded
+    whole, long runs of one kind of character included. Repeated rows are encoded each; other columns are ignored; an
+    empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,7 @@
 """Token blocks: exact round trips, also of every block by itself."""
 
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -28,6 +30,28 @@ def test_round_trip(spark):
     assert tb.encode(spark.createDataFrame([], df.schema)).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([" ", "\n", "\u00a0", "\x1c", "\u3000", "a", "!", "7", " a", "'s", "é"]), st.integers(1, 12)), max_size=12))
+def test_cut_runs_give_the_ids_of_the_uncut_text(parts):
+    text = "".join(c * n for c, n in parts)
+    enc, before = tb.encoding(), (tb._RUN, tb._long_runs)
+    try:
+        tb._RUN, tb._long_runs = 0, re.compile(f"(?<![{tb._SPACE}])[{tb._SPACE}]{{2,}}").finditer
+        assert tb.text_ids(enc, text).tolist() == enc.encode_ordinary(text)
+    finally:
+        tb._RUN, tb._long_runs = before
+
+
+def test_runs_of_a_million(spark):
+    enc = tb.encoding()
+    texts = [f"a{c * 1_000_000}{end}" for c in (" ", "\n", "x", "!", "\u2003", "7") for end in ("b", "", "\nb")]
+    texts.append("a" + " " * 5000 + "b" + "\n" * 5000 + " c" + "\t" * 2000)
+    rows = tb.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        ids = tb.decode(bytes(r.data), r.starts)
+        assert len(ids) == r.n_tokens and enc.decode(ids) == texts[r.doc_id]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=300), min_size=1, max_size=6), st.sampled_from([0.01, 0.5, 0.9, 1.0]))
 def test_blocks(docs, percentile):
