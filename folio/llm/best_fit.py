@@ -1,6 +1,6 @@
 """Best-fit packing of documents into training sequences by large-item matching.
 
-Lengths are words between ASCII white space. A document longer than a bin fills bins of its own; what is left over
+Lengths are words between Unicode white space, as in all operators of this package. A document longer than a bin fills bins of its own; what is left over
 is packed like a document. Pieces above a third of the capacity, of which a bin holds two at most, are matched
 greedily: the largest takes the largest that still fits. The others go, longest first, each into the bin it fills
 best. Documents are dealt by a hash into as many groups as there are shuffle partitions; a group leaves about one
@@ -78,15 +78,21 @@ def packed(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """bin_id, doc_id, start_word and n_words of every piece; no bin holds more than ``capacity`` words.
 
     A null or empty text, or one of white space only, has no words and no piece. Repeated rows, such as the copies
-    that mixing made, are packed each; a null doc_id is packed and stays null. Other columns are ignored; an empty
-    table gives no bins. bin_id tells bins apart, no more.
+    that mixing made, are packed each; a null doc_id is packed and stays null. A text of any length is packed whole, in as
+    many bins as it takes. Other columns are ignored; an empty table gives no bins. bin_id tells bins apart, no more.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
     spark = docs.sparkSession
     shards = c.partitions(spark)
-    words = F.size(F.array_remove(F.split(F.col("text").cast("string"), r"\s+"), ""))
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.cast("long").alias("n")).where("n > 0")
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in c.slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(c.word_counts(part.column("text")))], names=["doc_id", "n"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    items = rows.mapInArrow(sizes, "doc_id long, n long").where("n > 0")
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,6 +94,13 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return offsets.astype(np.int64), codes, words
 
 
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """How many words word_codes finds in each text; 0 for a null."""
+    texts = pc.utf8_trim_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    n = pc.list_value_length(pc.utf8_split_whitespace(texts)).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.where(pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0, n, 0)
+
+
 def hash_words(words: list[str], seed: int = 0) -> np.ndarray:
     h = xxhash.xxh3_64_intdigest
     return np.fromiter((h(w, seed) for w in words), U64, len(words))

@@ -3,11 +3,13 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folio.llm import best_fit as bf
+from folio.llm import common as c
 
 
 def slow(sizes, capacity):
@@ -61,6 +63,20 @@ def test_pieces_cover_every_word(spark):
     assert sum(fill.values()) / (100 * len(fill)) > 0.9
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from(["a", "b", " ", "\n", "\u00a0", "\x1c", "\u2003", "\u200b"]), max_size=12), max_size=6))
+def test_counts_the_words_that_all_operators_count(texts):
+    column = pa.array(texts, pa.string())
+    offsets, _, _ = c.word_codes(column)
+    assert c.word_counts(column).tolist() == np.diff(offsets).tolist() == [len((t or "").split()) for t in texts]
+
+
+def test_words_joined_by_other_white_space(spark):
+    df = spark.createDataFrame([(1, "\u00a0".join(["w"] * 200)), (2, "\u2003".join(["w"] * 70))], "doc_id long, text string")
+    out = bf.packed(df, 100).collect()
+    assert sum(r.n_words for r in out) == 270 and max(r.n_words for r in out) == 100
+
+
 def test_edges(spark):
     assert bf.packed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
