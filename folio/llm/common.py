@@ -188,6 +188,23 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """The rows of each run of one value of ``column``, which may go over batches; one run at a time is held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and held[-1].column(column)[0].as_py() != int(key[a]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def split_by(shard: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """A stable order that sorts by shard, and the bounds of each shard in it."""
     small = shard.astype(np.uint16 if count <= 1 << 16 else np.uint32)

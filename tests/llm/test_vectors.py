@@ -41,6 +41,21 @@ def test_knn_is_exact(spark, shape):
     assert {q: sorted(v, key=lambda p: p[1]) for q, v in got.items()} == brute(x, ids, 7)
 
 
+@pytest.mark.parametrize("vectors, asking", [(40, 1 << 14), (1 << 16, 9), (25, 16)])
+def test_knn_in_blocks(spark, monkeypatch, vectors, asking):
+    monkeypatch.setattr(voronoi_knn, "BLOCK_VECTORS", vectors)
+    monkeypatch.setattr(voronoi_knn, "BLOCK_QUERIES", asking)
+    rng = np.random.default_rng(6)
+    # a third of all lies in one place
+    x = np.vstack([rng.normal(size=(100, 6)) * 0.01, rng.normal(size=(200, 6)), rng.integers(0, 2, (40, 6))]).astype(np.float32)
+    ids = np.arange(len(x)) * 3 - 200
+    got = {}
+    for r in voronoi_knn.neighbours(table(spark, x, ids), k=6, every=4).collect():
+        got.setdefault(r.query_id, []).append((r.neighbor_id, r["rank"]))
+    want = {i: found for i, found in brute(x, ids, 6).items() if i % 4 == 0}
+    assert {q: sorted(f, key=lambda p: p[1]) for q, f in got.items()} == want
+
+
 def test_knn_sends_less_than_everything():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(20, 4)).repeat(50, axis=0) * 50 + rng.normal(size=(1000, 4)) * 0.01
