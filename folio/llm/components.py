@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import keep
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Each edge with ``m``, the least of a and all its neighbours; minima are taken before the shuffle, so that a node
+    of very many edges is no task's own."""
+    least = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    return edges.join(least, "a")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Nodes of edges (a, b), each with the least node of its component: node, component.
 
@@ -19,10 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges, before = keep(edges, "edges"), None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
-        large = both.withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        star = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-        small = star.select("a", F.col("m").alias("b")).union(star.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        star = _with_least(large)
+        small = star.select("a", F.col("m").alias("b")).union(star.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         edges = keep(small, "edges")
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if after == before:

@@ -78,6 +78,12 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_pivot_index": f"""
+    WITH RECURSIVE {_VECTORS},
+    u AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0),
+    p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE round(list_cosine_similarity(a.e, b.e), 6) >= 0.95),
+    reached(vec_id, least) AS (SELECT vec_id, vec_id FROM u UNION SELECT p.b, r.least FROM reached r JOIN p ON p.a = r.vec_id)
+    SELECT vec_id, min(least) AS class_id, (SELECT count(*) FROM p WHERE p.a = reached.vec_id) AS links FROM reached GROUP BY vec_id""",
         "op10_voronoi_knn": f"""
     WITH {_VECTORS},
     p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),

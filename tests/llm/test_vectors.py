@@ -72,29 +72,46 @@ def test_knn_sends_less_than_everything():
 def test_edges(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.001], 0), (2, [1.0, 0.001], 0), (3, [0.0, 0.0], 0), (None, [1.0, 0.0], 0), (4, None, 0), (5, [], 0), (6, [1.0], 0), (7, [math.nan, 1.0], 0), (8, [math.inf, 1.0], 0), (9, [None, 1.0], 0), (10, [1.0, 0.0], 0)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA + ", id int, v int")
-    assert {tuple(r)[:3] for r in pivot_index.near_duplicates(df).collect()} == {(1, 2, 1.0), (1, 10, 1.0), (2, 10, 1.0)}
+    assert {tuple(r) for r in pivot_index.near_duplicates(df).collect()} == {(1, 1, 2), (2, 1, 2), (10, 1, 2)}
     knn = voronoi_knn.neighbours(df, k=10).collect()
     assert {(r.query_id, r.neighbor_id) for r in knn} == {(a, b) for a in (1, 2, 3, 10) for b in (1, 2, 3, 10) if a != b}
     assert [r.neighbor_id for r in sorted(knn, key=lambda r: r["rank"]) if r.query_id == 1] == [10, 2, 3]
     for n in (0, 1):
         small = spark.createDataFrame([(i, [1.0, 2.0], 1) for i in range(n)], SCHEMA)
-        assert voronoi_knn.neighbours(small).count() == 0 and pivot_index.near_duplicates(small).count() == 0
+        assert voronoi_knn.neighbours(small).count() == 0 and [tuple(r) for r in pivot_index.near_duplicates(small).collect()] == [(0, 0, 0)] * n
     with pytest.raises(ValueError):
         voronoi_knn.neighbours(df, k=0)
 
 
+def classes(hit):
+    """The least member of each row's component."""
+    least = np.arange(len(hit))
+    while True:
+        new = np.array([least[h].min() if h.any() else m for h, m in zip(hit | np.eye(len(hit), dtype=bool), least)])
+        if (new == least).all():
+            return least
+        least = new
+
+
+@pytest.mark.parametrize("part", [4096, 40])
 @pytest.mark.parametrize("noise", [0.02, 0.15, 0.28])
-def test_near_duplicate_recall(spark, noise):
+def test_near_duplicate_recall(spark, monkeypatch, noise, part):
+    monkeypatch.setattr(pivot_index, "PART", part)
     rng = np.random.default_rng(8)
     base = rng.normal(size=(1500, 64))
     x = np.vstack([base, base[:400] + rng.normal(size=(400, 64)) * noise, base[:3].repeat(30, axis=0)]).astype(np.float32)
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    sim = unit.astype(float) @ unit.astype(float).T
-    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(sim >= 0.95, 1)))}
-    rows = pivot_index.near_duplicates(table(spark, x), 0.95).collect()
-    got = {(r.vec_a, r.vec_b) for r in rows}
-    assert len(rows) == len(got) and got <= want and len(got & want) >= 0.9 * len(want) and len(want) > 400
-    assert all(abs(r.similarity - sim[r.vec_a, r.vec_b]) < 1e-5 and r.shared >= 2 for r in rows)
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(float)
+    hit = np.round(unit @ unit.T, 6) >= 0.95
+    np.fill_diagonal(hit, False)
+    rows = {r.vec_id: r for r in pivot_index.near_duplicates(table(spark, x), 0.95).collect()}
+    assert sorted(rows) == list(range(len(x)))
+    links = np.array([rows[i].links for i in range(len(x))])
+    want = hit.sum(axis=1)
+    assert (links <= want).all() and links.sum() >= 0.9 * want.sum() and want.sum() > 800
+    found, true = np.array([rows[i].class_id for i in range(len(x))]), classes(hit)
+    assert (true[found] == true).all() and (found == true).mean() > 0.95
+    if (links == want).all():
+        assert (found == true).all()
 
 
 def test_near_duplicate_recall_in_a_dense_group(spark, tmp_path):
@@ -104,9 +121,8 @@ def test_near_duplicate_recall_in_a_dense_group(spark, tmp_path):
     x[:2000] = centre + rng.normal(size=(2000, 64)) * 0.14
     x = x.astype(np.float32)
     unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(float)
-    want = np.triu(unit @ unit.T >= 0.95, 1).sum()
+    want = (unit[:2000] @ unit[:2000].T >= 0.95).sum() - 2000
     pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), tmp_path / "x.parquet")
-    df = spark.read.parquet(str(tmp_path / "x.parquet"))
-    found = pivot_index.near_duplicates(df, 0.95)
-    row = found.selectExpr("count(*) AS n", "count(DISTINCT vec_a, vec_b) AS pairs", "min(similarity) AS least").first()
-    assert want > 1_900_000 and row.n == row.pairs and row.least >= 0.95 and 0.9 * want <= row.n <= want + 100
+    found = pivot_index.near_duplicates(spark.read.parquet(str(tmp_path / "x.parquet")), 0.95)
+    row = found.selectExpr("count(*) AS n", "sum(links) AS links", "count_if(vec_id < 2000 AND class_id = 0) AS joined", "count_if(vec_id >= 2000 AND class_id = vec_id) AS alone").first()
+    assert want > 3_800_000 and 0.9 * want <= row.links <= want + 200 and (row.n, row.joined, row.alone) == (20_000, 2000, 18_000)
