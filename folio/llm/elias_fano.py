@@ -23,8 +23,10 @@ def encode(values: np.ndarray) -> tuple[dict[str, int], list[np.ndarray]]:
     bits[high] = 1
     words = np.packbits(bits, bitorder="little").view(U64)
     before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.uint64)[:-1]]).astype(np.uint32)
-    fields = (values[:, None] >> np.arange(low, dtype=np.uint64) & U64(1)).astype(np.uint8).reshape(-1)
-    lows = np.packbits(np.concatenate([fields, np.zeros(128 - len(fields) % 64, np.uint8)]), bitorder="little").view(U64)
+    fields = np.zeros(n * low + 128 - n * low % 64, np.uint8)
+    for bit in range(low):
+        fields[bit : n * low : low] = values >> U64(bit) & U64(1)
+    lows = np.packbits(fields, bitorder="little").view(U64)
     return {"n": n, "low": low}, [words, before, lows]
 
 

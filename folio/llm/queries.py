@@ -19,8 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return word_lm.score(documents, word_lm.train(documents, order=5))
+    return word_lm.scored(table(spark, sf_dir, "documents"), order=5)
 
 
 def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

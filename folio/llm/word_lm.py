@@ -1,10 +1,12 @@
 """A word n-gram model with interpolated Kneser-Ney smoothing in sharded Elias-Fano tries.
 
-Counts cover every white-space word of every document, and the model grows with the corpus. A context is read
-backwards; a shard holds all contexts whose last word hashes to it, so a context lies beside its back-off contexts.
-Each shard is a file with its own vocabulary of word hashes; its levels hold pointers, labels and ranks of
-successors within those of the shorter context in Elias-Fano form, shares and back-off weights in one byte each.
-Scoring sends n-grams to the shards, and each task reads one file once.
+Counts cover every white-space word of every document, and the model grows with the corpus. Two exchanges make it. The
+first counts word pairs, which gives the vocabulary: ids by falling frequency, and before how many different words each
+word stands after. The second sends every n-gram, as ids, to the shard of its context. A context is read backwards; a
+shard holds all contexts whose last word is dealt to it, so a context lies beside its back-off contexts. Each shard is a
+file: its levels hold pointers, labels and ranks of successors within those of the shorter context in Elias-Fano form,
+shares and back-off weights in one byte each. A corpus that is to be scored by its own model takes the second exchange
+once: each task builds its shard, maps it, scores what came with it and drops the file.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from folio.llm.ngram_lm import DISCOUNT, _quantised
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROWS = pa.schema([("shard", pa.int32()), ("rows", pa.binary())])
 _PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("bits", pa.float64())])
+#: Files of the vocabulary at most, and the counts from which words come before others in it.
+_FILES, _COMMON = 64, (1 << 12, 1 << 7, 1 << 3)
 
 
 def windows(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -37,55 +41,214 @@ def windows(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray],
     hashes = np.append(np.maximum(c.hash_words(words), c.U64(1)), c.U64(0))
     lengths = np.diff(offsets)
     at = np.arange(len(codes)) + np.repeat(np.arange(1, len(lengths) + 1) * (order - 1), lengths)
-    padded = np.full(len(codes) + len(lengths) * (order - 1), len(words), np.int64)
+    padded = np.full(len(codes) + len(lengths) * (order - 1), len(words), np.int32)
     padded[at] = codes
     return offsets, [padded[at - back] for back in range(order)], hashes
 
 
-def _routed(columns: list[np.ndarray], others: list[np.ndarray], hashes: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    """Packed rows for each shard: the hashes they use, columns of codes for these, and the others."""
-    by, bounds = c.split_by((c.mix(hashes) % c.U64(shards)).astype(np.int64)[columns[1]], shards)
+def _rows(rows: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
+    rows = list(rows)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_ROWS)
+
+
+def _taken(batches: Iterator[pa.RecordBatch]) -> tuple[int, list[bytes]]:
+    """The shard of a task and all its packed rows."""
+    shard, blobs = -1, []
+    for batch in batches:
+        if batch.num_rows:
+            shard = batch.column("shard")[0].as_py()
+            blobs += batch.column("rows").to_pylist()
+    return shard, blobs
+
+
+class Vocabulary:
+    """Ids of words, from 1 by falling frequency, in files that tasks map: sorted hashes of four classes of frequency,
+    and for each word how many different words it stands after."""
+
+    def __init__(self, folder: str, sizes: np.ndarray, ahead: int) -> None:
+        self.folder, self.sizes, self.ahead = folder, sizes, ahead  # sizes: (files, classes)
+        self.words = int(sizes.sum())
+        self.bases = 1 + (np.cumsum(sizes.T.reshape(-1)) - sizes.T.reshape(-1)).reshape(sizes.T.shape).T
+        self._open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_open": {}}
+
+    def _file(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in self._open:
+            n = int(self.sizes[k].sum())
+            raw = np.memmap(f"{self.folder}/{k}.words", np.uint8, "r") if n else np.zeros(0, np.uint8)
+            self._open[k] = raw[: 8 * n].view(np.uint64), raw[8 * n :].view(np.uint32)
+        return self._open[k]
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """0 for hash 0, words + 1 for unknown words."""
+        out = np.full(len(hashes), self.words + 1, np.uint32)
+        files = len(self.sizes)
+        by, bounds = c.split_by((c.mix(hashes) % c.U64(files)).astype(np.int64), files)
+        for k in range(files):
+            m = by[bounds[k] : bounds[k + 1]]
+            known, begin = self._file(k)[0] if len(m) else (), 0
+            for base, size in zip(self.bases[k], self.sizes[k]):
+                if len(m) and size:
+                    some = known[begin : begin + size]
+                    at = np.minimum(np.searchsorted(some, hashes[m]), size - 1)
+                    hit = some[at] == hashes[m]
+                    out[m[hit]] = base + at[hit]
+                begin += size
+        out[hashes == 0] = 0
+        return out
+
+    def alone(self, ids: np.ndarray) -> np.ndarray:
+        """Probabilities of words without context; a word never seen has the share of one more word."""
+        total, ahead = max(1, self.ahead), np.zeros(len(ids))
+        flat = self.bases.T.reshape(-1)
+        slot = np.searchsorted(flat, ids, "right") - 1
+        real = (ids > 0) & (ids <= self.words)
+        # empty classes share their base with the next one: the last of equals is meant
+        files = len(self.sizes)
+        by, bounds = c.split_by(np.where(real, slot % files, 0), files)
+        begins = np.cumsum(self.sizes, axis=1) - self.sizes
+        for k in range(files):
+            m = by[bounds[k] : bounds[k + 1]]
+            m = m[real[m]]
+            if len(m):
+                kind = slot[m] // files
+                ahead[m] = self._file(k)[1][begins[k][kind] + ids[m].astype(np.int64) - self.bases[k][kind]]
+        rest = DISCOUNT * self.words / total if self.words else 1.0
+        return np.maximum(ahead - DISCOUNT, 0) / total + rest / (self.words + 1)
+
+
+def vocabulary(docs: DataFrame, folder: str) -> Vocabulary:
+    """Count the word pairs of all texts. Pairs are dealt by both words, and only sums by word go on from there."""
+    spark = docs.sparkSession
+    shards = c.partitions(spark)
+    files = min(shards, _FILES)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in c.slices(batch):
+                _, (word, before), hashes = windows(part.column("text"), 2)
+                if not len(word):
+                    continue
+                key, n = np.unique(before.astype(np.int64) * len(hashes) + word, return_counts=True)
+                before, word = key // len(hashes), key % len(hashes)
+                by, bounds = c.split_by((c.mix(hashes[before] * c.U64(3) + hashes[word]) % c.U64(shards)).astype(np.int64), shards)
+                yield _rows(_coded(by, bounds, hashes, [before, word], c.narrow(n), shards))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, blobs = _taken(batches)
+        if not blobs:
+            return
+        parts = [c.unpack(b) for b in blobs]
+        blobs.clear()
+        known = np.unique(np.concatenate([p[0] for p in parts]))
+        before, word, n = [], [], []
+        for p in parts:
+            at = np.searchsorted(known, p[0])
+            before.append(np.cumsum(p[1], dtype=np.int64))
+            before[-1] = at[before[-1]]
+            word.append(at[p[2]])
+            n.append(p[3])
+        word = np.concatenate(word)
+        count = np.bincount(word, np.concatenate(n), len(known)).astype(np.uint64)
+        ahead = np.bincount(np.unique(np.concatenate(before) * len(known) + word) % len(known), minlength=len(known)).astype(np.uint32)
+        some = np.flatnonzero(ahead)
+        by, bounds = c.split_by((c.mix(known[some]) % c.U64(files)).astype(np.int64), files)
+        mine = [some[by[bounds[k] : bounds[k + 1]]] for k in range(files)]
+        yield _rows((k, c.pack(known[m], c.narrow(ahead[m]), c.narrow(count[m]))) for k, m in enumerate(mine) if len(m))
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, blobs = _taken(batches)
+        if not blobs:
+            return
+        parts = [c.unpack(b) for b in blobs]
+        known, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        ahead, count = (np.bincount(inverse, np.concatenate([p[i] for p in parts])) for i in (1, 2))
+        kind = np.searchsorted(-np.array(_COMMON), -count, "left")
+        by, bounds = c.split_by(kind, len(_COMMON) + 1)
+        _write(f"{folder}/{k}.words", known[by].tobytes() + ahead[by].astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.diff(bounds).tolist()]), pa.array([int(ahead.sum())])], names=["file", "sizes", "ahead"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    sums = c.to_shards(texts.mapInArrow(pairs, "shard int, rows binary"), "shard").mapInArrow(counted, "shard int, rows binary")
+    done = sums.repartitionById(files, F.col("shard")).mapInArrow(stored, "file long, sizes array<long>, ahead long")
+    sizes, ahead = np.zeros((files, len(_COMMON) + 1), np.int64), 0
+    # one row for each of _FILES files at most; what was exchanged is not needed any more
+    for r in _without_leftovers(done.collect, spark):
+        sizes[r["file"]] = r["sizes"]
+        ahead += r["ahead"]
+    return Vocabulary(folder, sizes, ahead)
+
+
+def _coded(by: np.ndarray, bounds: np.ndarray, hashes: np.ndarray, columns: list[np.ndarray], n: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """Pairs for each shard: the hashes they use, codes for these (the first column ascends), and how many of each."""
     for s in range(shards):
         m = by[bounds[s] : bounds[s + 1]]
         if len(m):
-            mine = [x[m] for x in columns]
             used = np.zeros(len(hashes), bool)
-            for x in mine:
-                used[x] = True
+            for x in columns:
+                used[x[m]] = True
             code = np.cumsum(used) - 1
-            yield s, c.pack(hashes[used], *(c.narrow(code[x]) for x in mine), *(x[m] for x in others))
+            yield s, c.pack(hashes[used], c.narrow(np.diff(code[columns[0][m]], prepend=0)), c.narrow(code[columns[1][m]]), n[m])
+
+
+def _without_leftovers(action: Callable, spark) -> object:
+    """Run a job whose shuffle files go when it ends."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return action()
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
 
 
-def _distinct(columns: list[np.ndarray], size: int, n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct n-grams in the order of contexts read backwards, then the word; the sums of n."""
-    key = columns[1]
+def _grams(texts: pa.Array, order: int, known: Vocabulary, shards: int) -> tuple[np.ndarray, Iterator[tuple[int, bytes]]]:
+    """Offsets of texts; for each shard the n-grams of the contexts that it holds, as ids, with the text of each."""
+    offsets, columns, hashes = windows(texts, order)
+    ids = known.ids(hashes)
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+    def packed() -> Iterator[tuple[int, bytes]]:
+        by, bounds = c.split_by((c.mix(ids.astype(np.uint64)) % c.U64(shards)).astype(np.int64)[columns[1]], shards)
+        for s in range(shards):
+            m = by[bounds[s] : bounds[s + 1]]
+            if len(m):
+                yield s, c.pack(*(ids[x[m]] for x in columns), c.narrow(np.diff(of[m], prepend=0)))
+
+    return offsets, packed()
+
+
+def _distinct(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct n-grams in the order of contexts read backwards, then the word; how many of each; where each row is."""
+    key = columns[1].astype(np.int64)
     for x in [*columns[2:], columns[0]]:
         kinds, key = np.unique(key, return_inverse=True)
         key = key * size + x
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    return [x[first] for x in columns], np.bincount(inverse, n, len(first)).astype(np.int64)
+    _, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    return [x[first] for x in columns], n, inverse
 
 
-def _merged(blobs: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """The vocabulary, columns of ids in it, the other column of each blob, and the rows of each blob."""
-    parts = [c.unpack(b) for b in blobs]
-    vocab = np.unique(np.concatenate([p[0] for p in parts]))
-    columns: list[list[np.ndarray]] = [[] for _ in range(order)]
-    for p in parts:
-        ids = np.searchsorted(vocab, p[0]).astype(np.int32)
-        for k in range(order):
-            columns[k].append(ids[p[1 + k]])
-    return vocab, [np.concatenate(x) for x in columns], [p[1 + order] for p in parts], np.array([len(p[1]) for p in parts])
+def _local(parts: list[list[np.ndarray]], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The ids that n-grams of a shard use, and columns of places among them."""
+    columns = [np.concatenate([p[k] for p in parts]) for k in range(order)]
+    vocab = np.unique(np.concatenate([np.unique(x) for x in columns]))
+    return vocab, [np.searchsorted(vocab, x).astype(np.int32) for x in columns]
 
 
-def build(vocab: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The file of a shard, and how many different words stand before each word. columns and n: from _distinct."""
+def build(vocab: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> bytes:
+    """The file of a shard; vocab: ids of words; columns and n: from _distinct."""
     order, size = len(columns), len(vocab)
     node, parents, labels = np.zeros(len(n), np.int64), [], []
+    new = np.zeros(len(n), bool)
+    new[:1] = True
     for x in columns[1:]:
-        kinds, node = np.unique(node * size + x, return_inverse=True)
-        parents.append(kinds // size)
-        labels.append(kinds % size)
+        # n-grams with one context lie together
+        new[1:] |= x[1:] != x[:-1]
+        first = np.flatnonzero(new)
+        parents.append(node[first])
+        labels.append(x[first].astype(np.int64))
+        node = np.cumsum(new) - 1
     keys, values = [node * size + columns[0]] * order, [n] * order
     for k in range(order - 2, -1, -1):
         longer = keys[k + 1]
@@ -127,9 +290,7 @@ def build(vocab: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> tuple[
         pad = -at % 8
         out += [bytes(pad), a.tobytes()]
         at += pad + a.nbytes
-    ahead = np.zeros(size, np.int64)
-    ahead[keys[0]] = values[0]
-    return b"".join(out), ahead
+    return b"".join(out)
 
 
 class Shard:
@@ -188,24 +349,10 @@ def _find(keys: np.ndarray, wanted: np.ndarray, valid: np.ndarray) -> np.ndarray
 
 
 class Model:
-    """A trained model: the folder of its shards and of the counts of words, how many shards, distinct words and bigrams."""
-
-    def __init__(self, folder: str, order: int, shards: int, words: int, bigrams: int) -> None:
-        self.folder, self.order, self.shards, self.words, self.bigrams = folder, order, shards, words, bigrams
+    """A trained model: its vocabulary and the folder of its shards."""
 
-    def alone(self, hashes: np.ndarray) -> np.ndarray:
-        """Probabilities of words without context; a word never seen has the share of one more word."""
-        ahead, total = np.zeros(len(hashes)), max(1, self.bigrams)
-        shard = c.mix(hashes) % c.U64(self.shards)
-        by, bounds = c.split_by(shard.astype(np.int64), self.shards)
-        for s in range(self.shards):
-            m = by[bounds[s] : bounds[s + 1]]
-            if len(m) and os.path.exists(path := f"{self.folder}/{s}.words"):
-                known = np.memmap(path, np.uint64, "r").reshape(2, -1)
-                at = _find(known[0], hashes[m], np.ones(len(m), bool))
-                ahead[m] = np.where(at >= 0, known[1][at], 0)
-        rest = DISCOUNT * self.words / total if self.words else 1.0
-        return np.maximum(ahead - DISCOUNT, 0) / total + rest / (self.words + 1)
+    def __init__(self, folder: str, order: int, shards: int, words: Vocabulary) -> None:
+        self.folder, self.order, self.shards, self.words = folder, order, shards, words
 
 
 def _write(path: str, data: bytes) -> None:
@@ -216,92 +363,85 @@ def _write(path: str, data: bytes) -> None:
     os.replace(part, path)
 
 
-def train(docs: DataFrame, order: int = 3) -> Model:
-    """Count, smooth and store a model of ``order`` words (2 to 5) in the shared folder.
-
-    Null and empty texts add nothing; repeated rows count each time; other columns are ignored.
-    """
+def _begun(docs: DataFrame, order: int) -> Model:
     if not 2 <= order <= 5:
         raise ValueError("order must be from 2 to 5")
-    spark = docs.sparkSession
-    shards = c.partitions(spark)
-    folder = c.local_path(c.fresh_dir(spark, "word-model"))
+    folder = c.local_path(c.fresh_dir(docs.sparkSession, "word-model"))
     os.makedirs(folder, exist_ok=True)
+    return Model(folder, order, c.partitions(docs.sparkSession), vocabulary(docs, folder))
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def train(docs: DataFrame, order: int = 3) -> Model:
+    """Count, smooth and store a model of ``order`` words (2 to 5) in the shared folder, which workers must see as a path.
+
+    Null and empty texts add nothing, texts of any length count whole; repeated rows count each time; other columns are
+    ignored; of an empty table the model knows no word.
+    """
+    model = _begun(docs, order)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in c.slices(batch):
-                _, columns, hashes = windows(part.column("text"), order)
-                if len(columns[0]):
-                    columns, n = _distinct(columns, len(hashes), np.ones(len(columns[0])))
-                    rows = list(_routed(columns, [c.narrow(n)], hashes, shards))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_ROWS)
+                yield _rows(_grams(part.column("text"), order, model.words, model.shards)[1])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, blobs = -1, []
-        for batch in batches:
-            if batch.num_rows:
-                shard = batch.column("shard")[0].as_py()
-                blobs += batch.column("rows").to_pylist()
-        if not blobs:
-            return
-        vocab, columns, n, _ = _merged(blobs, order)
-        blobs.clear()
-        data, ahead = build(vocab, *_distinct(columns, len(vocab), np.concatenate(n)))
-        _write(f"{folder}/{shard}.trie", data)
-        seen = np.flatnonzero(ahead)
-        by, bounds = c.split_by((c.mix(vocab[seen]) % c.U64(shards)).astype(np.int64), shards)
-        rows = [(s, c.pack(vocab[seen[m]], ahead[seen[m]])) for s in range(shards) if len(m := by[bounds[s] : bounds[s + 1]])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_ROWS)
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, parts = -1, []
-        for batch in batches:
-            if batch.num_rows:
-                shard = batch.column("shard")[0].as_py()
-                parts += [c.unpack(b) for b in batch.column("rows").to_pylist()]
-        if not parts:
-            return
-        words, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        ahead = np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.uint64)
-        _write(f"{folder}/{shard}.words", np.concatenate([words, ahead]).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([len(words)]), pa.array([int(ahead.sum())])], names=["words", "bigrams"])
+        shard, blobs = _taken(batches)
+        if blobs:
+            vocab, columns = _local([c.unpack(b) for b in blobs], order)
+            columns, n, _ = _distinct(columns, len(vocab))
+            _write(f"{model.folder}/{shard}.trie", build(vocab, columns, n))
+            yield pa.RecordBatch.from_arrays([pa.array([len(n)])], names=["n"])
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    stored = c.to_shards(texts.mapInArrow(count, "shard int, rows binary"), "shard").mapInArrow(store, "shard int, rows binary")
-    sums = c.to_shards(stored, "shard").mapInArrow(single, "words long, bigrams long").agg(F.sum("words"), F.sum("bigrams"))
-    # the n-grams lie in the tries now; without this their shuffle files stay on disk beside those of score
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        sums = sums.first()
-    finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    return Model(folder, order, shards, sums[0] or 0, sums[1] or 0)
+    _without_leftovers(c.to_shards(texts.mapInArrow(send, "shard int, rows binary"), "shard").mapInArrow(store, "n long").agg(F.sum("n")).first, docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words and bits_per_word (mean negative log2 probability of a word) of every row.
 
-    A text without words has 0 words and null bits; a null text has null for both; a null doc_id stays null.
-    Repeated rows are scored each; other columns are ignored. Words never seen in training share one word's rest.
+    A text without words has 0 words and null bits; a null text has null for both; a null doc_id stays null. Texts of any
+    length are scored whole, repeated rows each; other columns, of whatever name, are ignored; an empty table gives no
+    rows. Words never seen in training share one word's rest.
     """
+
+    def ready(shard: int, *_: object) -> str | None:
+        return path if os.path.exists(path := f"{model.folder}/{shard}.trie") else None
+
+    return _scored(docs, model, ready, lambda path: None)
+
+
+def scored(docs: DataFrame, order: int = 3) -> DataFrame:
+    """What score(docs, train(docs, order)) gives, in one exchange of n-grams; no model stays but its vocabulary."""
+    model = _begun(docs, order)
+
+    def ready(shard: int, vocab: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> str:
+        # of a task's own: another attempt at it may run at the same time
+        path = f"{model.folder}/{shard}-{uuid.uuid4().hex}.trie"
+        _write(path, build(vocab, columns, n))
+        return path
+
+    return _scored(docs, model, ready, os.unlink)
+
+
+def _scored(docs: DataFrame, model: Model, ready: Callable, done: Callable[[str], None]) -> DataFrame:
     order, shards = model.order, model.shards
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, task = 0, TaskContext.get().partitionId()
+        names = ["shard", "rows", "base", "ids", "n"]
+        none = pa.nulls(1, pa.list_(pa.int64()))
         for batch in batches:
             for part in c.slices(batch):
-                offsets, columns, hashes = windows(part.column("text"), order)
-                of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)).astype(np.uint32)
+                offsets, packed = _grams(part.column("text"), order, model.words, shards)
                 base = (task << 40) + row
-                for s, blob in _routed(columns, [of], hashes, shards) if len(of) else ():
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary()), pa.array([base]), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64()))], names=["shard", "rows", "base", "ids", "n"])
+                for s, blob in packed:
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary()), pa.array([base]), none, none], names=names)
                 # one row has the ids and the numbers of words
                 absent = pc.is_null(part.column("text")).to_numpy(zero_copy_only=False)
                 n = pa.array(np.diff(offsets), pa.int64(), mask=absent)
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (part.column("doc_id"), n)]
-                yield pa.RecordBatch.from_arrays([pa.array([(base + task) % shards], pa.int32()), pa.nulls(1, pa.binary()), pa.array([base]), *lists], names=["shard", "rows", "base", "ids", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([(base + task) % shards], pa.int32()), pa.nulls(1, pa.binary()), pa.array([base]), *lists], names=names)
                 row += part.num_rows
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,18 +457,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([rows, ids.values, n.values, pa.array(np.zeros(len(ids)))], schema=_PARTS)
         if not blobs:
             return
-        vocab, columns, of, sizes = _merged(blobs, order)
+        parts = [c.unpack(b) for b in blobs]
         blobs.clear()
-        lower = model.alone(vocab)[columns[0]]
-        if os.path.exists(path := f"{model.folder}/{shard}.trie"):
+        of = [np.cumsum(p.pop(), dtype=np.int64) for p in parts]
+        vocab, columns = _local(parts, order)
+        parts.clear()
+        columns, n, inverse = _distinct(columns, len(vocab))
+        bits = model.words.alone(vocab)[columns[0]]
+        if (path := ready(shard, vocab, columns, n)) is not None:
             trie = Shard(path)
-            ids = _find(trie.vocab, vocab, np.ones(len(vocab), bool)).astype(np.int32)
-            lower = trie.p([ids[x] for x in columns], lower)
-        bits = -np.log2(lower)
-        ends = np.cumsum(sizes)
-        for base, some, a, b in zip(bases, of, ends - sizes, ends):
-            begin = np.flatnonzero(np.diff(some.astype(np.int64), prepend=-1))
-            yield pa.RecordBatch.from_arrays([pa.array(base + some[begin].astype(np.int64)), pa.nulls(len(begin), pa.int64()), pa.nulls(len(begin), pa.int64()), pa.array(np.add.reduceat(bits[a:b], begin))], schema=_PARTS)
+            if not np.array_equal(trie.vocab, vocab):
+                ids = _find(trie.vocab, vocab, np.ones(len(vocab), bool)).astype(np.int32)
+                columns = [ids[x] for x in columns]
+            bits = trie.p(columns, bits)
+            del trie
+            done(path)
+        bits = -np.log2(bits)[inverse]
+        at = 0
+        for base, some in zip(bases, of):
+            begin = np.flatnonzero(np.diff(some, prepend=-1))
+            sums = np.add.reduceat(bits[at : at + len(some)], begin)
+            at += len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(base + some[begin]), pa.nulls(len(begin), pa.int64()), pa.nulls(len(begin), pa.int64()), pa.array(sums)], schema=_PARTS)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = rows.mapInArrow(send, "shard int, rows binary, base long, ids array<long>, n array<long>")

@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -39,7 +40,8 @@ class Brute:
 
 @pytest.mark.parametrize("order", [2, 3, 5])
 def test_against_plain_python(spark, order):
-    model = word_lm.train(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), order)
+    corpus = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    model = word_lm.train(corpus, order)
     brute = Brute([t for t in TEXTS if t], order)
     rows = [*enumerate(TEXTS), (100, "the bat sat"), (101, "never seen"), (None, "the mat sat on the cat"), (1, "the dog")]
     got = sorted(word_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect(), key=repr)
@@ -60,7 +62,28 @@ def test_query_knows_the_order_of_words(spark, tmp_path):
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     model = word_lm.train(empty)
-    assert word_lm.score(empty, model).count() == 0
+    assert word_lm.score(empty, model).count() == 0 and word_lm.scored(empty).count() == 0
     assert word_lm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).first().n_words == 2
     with pytest.raises(ValueError):
         word_lm.train(empty, 6)
+
+
+@pytest.mark.parametrize("order", [2, 5])
+def test_a_corpus_by_its_own_model(spark, order):
+    rng = np.random.default_rng(order)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.3, n) % 5000) for n in rng.integers(0, 120, 40)]
+    texts += [texts[3], None, "", "x " * 3000, "\u00a0".join("abc"), "the the the"]
+    docs = spark.createDataFrame([(i, t, 1, b"") for i, t in enumerate(texts)] + [(None, "a b c", 1, b"")], "doc_id long, text string, shard int, rows binary").repartition(3)
+    tries = lambda: {str(p) for p in Path(word_lm.c.local_path(word_lm.c.shared_dir(spark))).rglob("*.trie")}
+    before = tries()
+    one = {repr(r.doc_id): r for r in word_lm.scored(docs, order).collect()}
+    assert tries() == before
+    two = {repr(r.doc_id): r for r in word_lm.score(docs, word_lm.train(docs, order)).collect()}
+    assert len(one) == len(two) == len(texts) + 1
+    for k, r in one.items():
+        assert r.n_words == two[k].n_words and (r.bits_per_word is None) == (two[k].bits_per_word is None)
+        assert r.bits_per_word is None or abs(r.bits_per_word - two[k].bits_per_word) < 1e-6
+    brute = Brute([t for t in texts if t] + ["a b c"], order)
+    for k in range(0, 40, 13):
+        if one[repr(k)].n_words:
+            assert abs(one[repr(k)].bits_per_word - brute.bits(texts[k])) < 0.05
