@@ -60,6 +60,17 @@ class Sequence:
         field = self.lows[w] >> s | np.where(s > 0, self.lows[w + 1] << (U64(64) - s & U64(63)), U64(0))
         return high << U64(self.low) | field & self._mask
 
+    def all(self) -> np.ndarray:
+        """The whole sequence, read from front to back."""
+        high = np.flatnonzero(np.unpackbits(self.words.view(np.uint8), bitorder="little")) - np.arange(self.n)
+        if not self.low or not self.n:
+            return high
+        start = np.arange(self.n, dtype=np.uint64) * U64(self.low)
+        w, s = (start >> U64(6)).astype(np.intp), start & U64(63)
+        # a shift in two steps, since one by 64 has no defined result
+        field = (self.lows[w] >> s | self.lows[w + 1] << (U64(63) - s) << U64(1)) & self._mask
+        return high << self.low | field.view(np.int64)
+
     def successor(self, begin: np.ndarray, end: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The first index in [begin, end) whose value is at least target, else end."""
         lo, hi = begin.astype(np.int64), end.astype(np.int64)

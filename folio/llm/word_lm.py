@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import common as c
@@ -30,8 +30,8 @@ from folio.llm.ngram_lm import DISCOUNT, _quantised
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROWS = pa.schema([("shard", pa.int32()), ("rows", pa.binary())])
 _PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("bits", pa.float64())])
-#: Files of the vocabulary at most, and the counts from which words come before others in it.
-_FILES, _COMMON = 64, (1 << 12, 1 << 7, 1 << 3)
+#: Files of the vocabulary at most; classes of words, by the powers of two in their counts, of which the commonest come first.
+_FILES, _CLASSES = 64, 48
 
 
 def windows(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -62,23 +62,25 @@ def _taken(batches: Iterator[pa.RecordBatch]) -> tuple[int, list[bytes]]:
 
 
 class Vocabulary:
-    """Ids of words, from 1 by falling frequency, in files that tasks map: sorted hashes of four classes of frequency,
-    and for each word how many different words it stands after."""
+    """Ids of words, from 1 by falling frequency, in files that tasks map: sorted hashes, the place of each among the
+    file's words by class, and, by place, how many different words a word stands after."""
 
     def __init__(self, folder: str, sizes: np.ndarray, ahead: int) -> None:
         self.folder, self.sizes, self.ahead = folder, sizes, ahead  # sizes: (files, classes)
         self.words = int(sizes.sum())
+        # classes one after the other, in each the files one after the other
         self.bases = 1 + (np.cumsum(sizes.T.reshape(-1)) - sizes.T.reshape(-1)).reshape(sizes.T.shape).T
-        self._open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.begins = np.cumsum(sizes, axis=1) - sizes
+        self._open: dict[int, tuple[np.ndarray, ...]] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_open": {}}
 
-    def _file(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _file(self, k: int) -> tuple[np.ndarray, ...]:
         if k not in self._open:
             n = int(self.sizes[k].sum())
             raw = np.memmap(f"{self.folder}/{k}.words", np.uint8, "r") if n else np.zeros(0, np.uint8)
-            self._open[k] = raw[: 8 * n].view(np.uint64), raw[8 * n :].view(np.uint32)
+            self._open[k] = raw[: 8 * n].view(np.uint64), raw[8 * n : 12 * n].view(np.uint32), raw[12 * n :].view(np.uint32)
         return self._open[k]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
@@ -88,33 +90,29 @@ class Vocabulary:
         by, bounds = c.split_by((c.mix(hashes) % c.U64(files)).astype(np.int64), files)
         for k in range(files):
             m = by[bounds[k] : bounds[k + 1]]
-            known, begin = self._file(k)[0] if len(m) else (), 0
-            for base, size in zip(self.bases[k], self.sizes[k]):
-                if len(m) and size:
-                    some = known[begin : begin + size]
-                    at = np.minimum(np.searchsorted(some, hashes[m]), size - 1)
-                    hit = some[at] == hashes[m]
-                    out[m[hit]] = base + at[hit]
-                begin += size
+            known, places, _ = self._file(k) if len(m) else ((), (), ())
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes[m]), len(known) - 1)
+                hit = known[at] == hashes[m]
+                place = places[at[hit]].astype(np.int64)
+                kind = np.searchsorted(self.begins[k], place, "right") - 1
+                out[m[hit]] = self.bases[k][kind] + place - self.begins[k][kind]
         out[hashes == 0] = 0
         return out
 
     def alone(self, ids: np.ndarray) -> np.ndarray:
         """Probabilities of words without context; a word never seen has the share of one more word."""
-        total, ahead = max(1, self.ahead), np.zeros(len(ids))
-        flat = self.bases.T.reshape(-1)
-        slot = np.searchsorted(flat, ids, "right") - 1
+        total, ahead, files = max(1, self.ahead), np.zeros(len(ids)), len(self.sizes)
         real = (ids > 0) & (ids <= self.words)
-        # empty classes share their base with the next one: the last of equals is meant
-        files = len(self.sizes)
+        # an empty slot has the base of the next one: the last of equals is meant
+        slot = np.searchsorted(self.bases.T.reshape(-1), ids, "right") - 1
         by, bounds = c.split_by(np.where(real, slot % files, 0), files)
-        begins = np.cumsum(self.sizes, axis=1) - self.sizes
         for k in range(files):
             m = by[bounds[k] : bounds[k + 1]]
             m = m[real[m]]
             if len(m):
                 kind = slot[m] // files
-                ahead[m] = self._file(k)[1][begins[k][kind] + ids[m].astype(np.int64) - self.bases[k][kind]]
+                ahead[m] = self._file(k)[2][self.begins[k][kind] + ids[m].astype(np.int64) - self.bases[k][kind]]
         rest = DISCOUNT * self.words / total if self.words else 1.0
         return np.maximum(ahead - DISCOUNT, 0) / total + rest / (self.words + 1)
 
@@ -165,17 +163,17 @@ def vocabulary(docs: DataFrame, folder: str) -> Vocabulary:
         parts = [c.unpack(b) for b in blobs]
         known, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         ahead, count = (np.bincount(inverse, np.concatenate([p[i] for p in parts])) for i in (1, 2))
-        kind = np.searchsorted(-np.array(_COMMON), -count, "left")
-        by, bounds = c.split_by(kind, len(_COMMON) + 1)
-        _write(f"{folder}/{k}.words", known[by].tobytes() + ahead[by].astype(np.uint32).tobytes())
+        by, bounds = c.split_by(_CLASSES - np.frexp(count)[1], _CLASSES)
+        place = np.empty(len(by), np.uint32)
+        place[by] = np.arange(len(by))
+        _write(f"{folder}/{k}.words", known.tobytes() + place.tobytes() + ahead[by].astype(np.uint32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.diff(bounds).tolist()]), pa.array([int(ahead.sum())])], names=["file", "sizes", "ahead"])
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     sums = c.to_shards(texts.mapInArrow(pairs, "shard int, rows binary"), "shard").mapInArrow(counted, "shard int, rows binary")
-    done = sums.repartitionById(files, F.col("shard")).mapInArrow(stored, "file long, sizes array<long>, ahead long")
-    sizes, ahead = np.zeros((files, len(_COMMON) + 1), np.int64), 0
-    # one row for each of _FILES files at most; what was exchanged is not needed any more
-    for r in _without_leftovers(done.collect, spark):
+    sizes, ahead = np.zeros((files, _CLASSES), np.int64), 0
+    # one row for each of _FILES files at most
+    for r in _without_leftovers(spark, lambda: sums.repartitionById(files, F.col("shard")).mapInArrow(stored, "file long, sizes array<long>, ahead long").collect()):
         sizes[r["file"]] = r["sizes"]
         ahead += r["ahead"]
     return Vocabulary(folder, sizes, ahead)
@@ -193,12 +191,12 @@ def _coded(by: np.ndarray, bounds: np.ndarray, hashes: np.ndarray, columns: list
             yield s, c.pack(hashes[used], c.narrow(np.diff(code[columns[0][m]], prepend=0)), c.narrow(code[columns[1][m]]), n[m])
 
 
-def _without_leftovers(action: Callable, spark) -> object:
-    """Run a job whose shuffle files go when it ends."""
+def _without_leftovers(spark: SparkSession, job: Callable[[], object]) -> object:
+    """Plan and run a job whose shuffle files go when it ends; what it exchanged lies in the shared folder then."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        return action()
+        return job()
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
 
@@ -214,11 +212,24 @@ def _grams(texts: pa.Array, order: int, known: Vocabulary, shards: int) -> tuple
         for s in range(shards):
             m = by[bounds[s] : bounds[s + 1]]
             if len(m):
-                yield s, c.pack(*(ids[x[m]] for x in columns), c.narrow(np.diff(of[m], prepend=0)))
+                # words of one context together: the column of the word before shrinks to almost nothing
+                m = m[np.argsort(ids[columns[1][m]], kind="stable")]
+                before = ids[columns[1][m]]
+                yield s, c.pack(np.diff(before, prepend=np.uint32(0)), *(ids[columns[k][m]] for k in (0, *range(2, order))), c.narrow(of[m]))
 
     return offsets, packed()
 
 
+def _received(blobs: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Columns of ids of all n-grams of a shard, and the texts that those of each blob are in."""
+    parts = [c.unpack(b) for b in blobs]
+    blobs.clear()
+    of = [p.pop() for p in parts]
+    first = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])
+    others = [np.concatenate([p[k] for p in parts]) for k in range(1, order)]
+    return [others[0], first, *others[1:]], of
+
+
 def _distinct(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Distinct n-grams in the order of contexts read backwards, then the word; how many of each; where each row is."""
     key = columns[1].astype(np.int64)
@@ -229,16 +240,9 @@ def _distinct(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], n
     return [x[first] for x in columns], n, inverse
 
 
-def _local(parts: list[list[np.ndarray]], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The ids that n-grams of a shard use, and columns of places among them."""
-    columns = [np.concatenate([p[k] for p in parts]) for k in range(order)]
-    vocab = np.unique(np.concatenate([np.unique(x) for x in columns]))
-    return vocab, [np.searchsorted(vocab, x).astype(np.int32) for x in columns]
-
-
-def build(vocab: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> bytes:
-    """The file of a shard; vocab: ids of words; columns and n: from _distinct."""
-    order, size = len(columns), len(vocab)
+def build(columns: list[np.ndarray], n: np.ndarray, size: int) -> bytes:
+    """The file of a shard; columns and n: from _distinct; size: more than any id."""
+    order = len(columns)
     node, parents, labels = np.zeros(len(n), np.int64), [], []
     new = np.zeros(len(n), bool)
     new[:1] = True
@@ -264,7 +268,7 @@ def build(vocab: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> bytes:
         base = np.concatenate([[0], np.cumsum(inside[np.append(begin[1:], len(inside)) - 1])[:-1]])
         return inside + np.repeat(base, np.diff(np.append(begin, len(inside))))
 
-    put({}, [vocab])
+    put({"size": size}, [])
     put(*encode(keys[0]))
     above, above_begin = keys[0], np.zeros(1, np.int64)
     for k in range(1, order):
@@ -294,12 +298,12 @@ def build(vocab: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> bytes:
 
 
 class Shard:
-    """A shard's vocabulary, and of each level the keys of contexts (parent, label) and of successors (context, word)."""
+    """A shard's file, mapped. A level has contexts (parent, label) and successors (context, rank among the parent's)."""
 
     def __init__(self, path: str) -> None:
         raw = np.memmap(path, np.uint8, "r")
         at = 8 + int(raw[:8].view("<u8")[0])
-        parts = []
+        self._parts = []
         for head in json.loads(raw[8:at].tobytes()):
             arrays = []
             for kind, n in head["arrays"]:
@@ -307,45 +311,54 @@ class Shard:
                 end = at + n * np.dtype(kind).itemsize
                 arrays.append(raw[at:end].view(kind))
                 at = end
-            parts.append((head, arrays))
-
-        def whole(part: tuple) -> np.ndarray:
-            return Sequence(*part).get(np.arange(part[0]["n"])).astype(np.int64)
-
-        def inside(begin: np.ndarray, values: np.ndarray) -> np.ndarray:
-            return values - np.repeat(np.where(begin[:-1] > 0, values[begin[:-1] - 1], 0), np.diff(begin))
-
-        self.vocab = np.array(parts[0][1][0])
-        size = len(self.vocab)
-        words, begins = whole(parts[1]), np.array([0])
-        self.levels = []
-        for i in range(2, len(parts), 6):
-            first, begin = whole(parts[i]), whole(parts[i + 2])
+            self._parts.append((head, arrays))
+        self.size = self._parts[0][0]["size"]
+        self.words = self._all(1)
+
+    def _all(self, part: int) -> np.ndarray:
+        return Sequence(*self._parts[part]).all()
+
+    def _inside(self, begin: np.ndarray, part: int) -> np.ndarray:
+        values = self._all(part)
+        return values - np.repeat(np.where(begin[:-1] > 0, values[begin[:-1] - 1], 0), np.diff(begin))
+
+    def _levels(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each level: its first part, the parent of each context, the context of each successor and the place of the
+        same word in the level above, what the two quantised columns stand for."""
+        begins = np.array([0])
+        for i in range(2, len(self._parts), 6):
+            first, begin = self._all(i), self._all(i + 2)
             parent = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            contexts = parent * size + inside(first, whole(parts[i + 1]))
             node = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-            words = words[begins[parent[node]] + inside(begin, whole(parts[i + 3]))]
+            place = begins[parent[node]] + self._inside(begin, i + 3)
+            share, back = (np.exp2(h["low"] + h["step"] * np.arange(256))[a[0]] for h, a in self._parts[i + 4 : i + 6])
+            yield i, first, parent, node, place, (share, back)
             begins = begin[:-1]
-            share, back = (h["low"] + h["step"] * a[0] for h, a in parts[i + 4 : i + 6])
-            self.levels.append((contexts, node * size + words, np.exp2(share), np.exp2(back)))
+
+    def stored(self, alone: np.ndarray) -> np.ndarray:
+        """Probabilities of all n-grams of the longest level in their order; alone: those of ``words`` without context.
+        Pointers and ranks lead from each to the same word after the shorter context."""
+        p = alone
+        for _, _, _, node, place, (share, back) in self._levels():
+            p = share + back[node] * p[place]
+        return p
 
     def p(self, columns: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
-        """Probabilities of n-grams by ids (-1: unknown); lower: those of the words without context."""
-        size, p = len(self.vocab), lower.copy()
+        """Probabilities of n-grams by ids; lower: those of the words without context."""
+        size, p, words = self.size, lower.copy(), self.words
         live, node = np.arange(len(p)), np.zeros(len(p), np.int64)
-        for k, (contexts, successors, share, back) in enumerate(self.levels, 1):
-            label = columns[k][live]
-            at = _find(contexts, node * size + label, label >= 0)
+        for i, first, parent, of, place, (share, back) in self._levels():
+            at = _find(parent * size + self._inside(first, i + 1), node * size + columns[1 + (i - 2) // 6][live])
             live, node = live[at >= 0], at[at >= 0]
-            word = columns[0][live]
-            at = _find(successors, node * size + word, word >= 0)
+            words = words[place]
+            at = _find(of * size + words, node * size + columns[0][live])
             p[live] = np.where(at >= 0, share[at], 0) + back[node] * p[live]
         return p
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray, valid: np.ndarray) -> np.ndarray:
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(valid & (keys[at] == wanted), at, -1)
+    return np.where(keys[at] == wanted, at, -1)
 
 
 class Model:
@@ -387,13 +400,13 @@ def train(docs: DataFrame, order: int = 3) -> Model:
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, blobs = _taken(batches)
         if blobs:
-            vocab, columns = _local([c.unpack(b) for b in blobs], order)
-            columns, n, _ = _distinct(columns, len(vocab))
-            _write(f"{model.folder}/{shard}.trie", build(vocab, columns, n))
+            size = model.words.words + 2
+            columns, n, _ = _distinct(_received(blobs, order)[0], size)
+            _write(f"{model.folder}/{shard}.trie", build(columns, n, size))
             yield pa.RecordBatch.from_arrays([pa.array([len(n)])], names=["n"])
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    _without_leftovers(c.to_shards(texts.mapInArrow(send, "shard int, rows binary"), "shard").mapInArrow(store, "n long").agg(F.sum("n")).first, docs.sparkSession)
+    _without_leftovers(docs.sparkSession, lambda: c.to_shards(texts.mapInArrow(send, "shard int, rows binary"), "shard").mapInArrow(store, "n long").agg(F.sum("n")).collect())
     return model
 
 
@@ -405,26 +418,34 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows. Words never seen in training share one word's rest.
     """
 
-    def ready(shard: int, *_: object) -> str | None:
-        return path if os.path.exists(path := f"{model.folder}/{shard}.trie") else None
+    def known(shard: int, columns: list[np.ndarray], _: object) -> np.ndarray:
+        words, at = np.unique(columns[0], return_inverse=True)
+        lower = model.words.alone(words)[at]
+        path = f"{model.folder}/{shard}.trie"
+        return Shard(path).p(columns, lower) if os.path.exists(path) else lower
 
-    return _scored(docs, model, ready, lambda path: None)
+    return _scored(docs, model, known)
 
 
 def scored(docs: DataFrame, order: int = 3) -> DataFrame:
     """What score(docs, train(docs, order)) gives, in one exchange of n-grams; no model stays but its vocabulary."""
     model = _begun(docs, order)
 
-    def ready(shard: int, vocab: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> str:
-        # of a task's own: another attempt at it may run at the same time
+    def known(shard: int, columns: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+        # a file of the task's own: another attempt at it may run at the same time
         path = f"{model.folder}/{shard}-{uuid.uuid4().hex}.trie"
-        _write(path, build(vocab, columns, n))
-        return path
+        _write(path, build(columns, n, model.words.words + 2))
+        try:
+            trie = Shard(path)
+            return trie.stored(model.words.alone(trie.words))
+        finally:
+            os.unlink(path)
 
-    return _scored(docs, model, ready, os.unlink)
+    return _scored(docs, model, known)
 
 
-def _scored(docs: DataFrame, model: Model, ready: Callable, done: Callable[[str], None]) -> DataFrame:
+def _scored(docs: DataFrame, model: Model, known: Callable[[int, list[np.ndarray], np.ndarray], np.ndarray]) -> DataFrame:
+    """known: the probabilities of a shard's distinct n-grams, from their columns and counts."""
     order, shards = model.order, model.shards
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,28 +478,15 @@ def _scored(docs: DataFrame, model: Model, ready: Callable, done: Callable[[str]
                     yield pa.RecordBatch.from_arrays([rows, ids.values, n.values, pa.array(np.zeros(len(ids)))], schema=_PARTS)
         if not blobs:
             return
-        parts = [c.unpack(b) for b in blobs]
-        blobs.clear()
-        of = [np.cumsum(p.pop(), dtype=np.int64) for p in parts]
-        vocab, columns = _local(parts, order)
-        parts.clear()
-        columns, n, inverse = _distinct(columns, len(vocab))
-        bits = model.words.alone(vocab)[columns[0]]
-        if (path := ready(shard, vocab, columns, n)) is not None:
-            trie = Shard(path)
-            if not np.array_equal(trie.vocab, vocab):
-                ids = _find(trie.vocab, vocab, np.ones(len(vocab), bool)).astype(np.int32)
-                columns = [ids[x] for x in columns]
-            bits = trie.p(columns, bits)
-            del trie
-            done(path)
-        bits = -np.log2(bits)[inverse]
+        columns, of = _received(blobs, order)
+        columns, n, inverse = _distinct(columns, model.words.words + 2)
+        bits = -np.log2(known(shard, columns, n))[inverse]
         at = 0
         for base, some in zip(bases, of):
-            begin = np.flatnonzero(np.diff(some, prepend=-1))
-            sums = np.add.reduceat(bits[at : at + len(some)], begin)
+            sums, n = np.bincount(some, bits[at : at + len(some)]), np.bincount(some)
             at += len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(base + some[begin]), pa.nulls(len(begin), pa.int64()), pa.nulls(len(begin), pa.int64()), pa.array(sums)], schema=_PARTS)
+            row = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(base + row), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int64()), pa.array(sums[row])], schema=_PARTS)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = rows.mapInArrow(send, "shard int, rows binary, base long, ids array<long>, n array<long>")
