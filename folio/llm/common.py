@@ -158,6 +158,14 @@ def ranges(lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lengths, lengths)
 
 
+def uniques(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending. A plain sort is several times as fast as a table of hashes."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 _MAGIC = "<u4"
 
 

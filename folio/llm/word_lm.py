@@ -32,6 +32,8 @@ _ROWS = pa.schema([("shard", pa.int32()), ("rows", pa.binary())])
 _PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("bits", pa.float64())])
 #: Files of the vocabulary at most; classes of words, by the powers of two in their counts, of which the commonest come first.
 _FILES, _CLASSES = 64, 48
+#: Files of a shard, by its contexts' last words; one at a time is built or read.
+_PARTS_OF_SHARD = 8
 
 
 def windows(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -140,7 +142,7 @@ def vocabulary(docs: DataFrame, folder: str) -> Vocabulary:
             return
         parts = [c.unpack(b) for b in blobs]
         blobs.clear()
-        known = np.unique(np.concatenate([p[0] for p in parts]))
+        known = c.uniques(np.concatenate([p[0] for p in parts]))
         before, word, n = [], [], []
         for p in parts:
             at = np.searchsorted(known, p[0])
@@ -150,7 +152,7 @@ def vocabulary(docs: DataFrame, folder: str) -> Vocabulary:
             n.append(p[3])
         word = np.concatenate(word)
         count = np.bincount(word, np.concatenate(n), len(known)).astype(np.uint64)
-        ahead = np.bincount(np.unique(np.concatenate(before) * len(known) + word) % len(known), minlength=len(known)).astype(np.uint32)
+        ahead = np.bincount(c.uniques(np.concatenate(before) * len(known) + word) % len(known), minlength=len(known)).astype(np.uint32)
         some = np.flatnonzero(ahead)
         by, bounds = c.split_by((c.mix(known[some]) % c.U64(files)).astype(np.int64), files)
         mine = [some[by[bounds[k] : bounds[k + 1]]] for k in range(files)]
@@ -230,6 +232,15 @@ def _received(blobs: list[bytes], order: int) -> tuple[list[np.ndarray], list[np
     return [others[0], first, *others[1:]], of
 
 
+def _parts(columns: list[np.ndarray], shards: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """The n-grams of each part of a shard, and which rows they are."""
+    part = (c.mix(columns[1].astype(np.uint64)) // c.U64(shards) % c.U64(_PARTS_OF_SHARD)).astype(np.uint8)
+    for k in range(_PARTS_OF_SHARD):
+        rows = np.flatnonzero(part == k)
+        if len(rows):
+            yield k, rows, [x[rows] for x in columns]
+
+
 def _distinct(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Distinct n-grams in the order of contexts read backwards, then the word; how many of each; where each row is."""
     key = columns[1].astype(np.int64)
@@ -401,9 +412,10 @@ def train(docs: DataFrame, order: int = 3) -> Model:
         shard, blobs = _taken(batches)
         if blobs:
             size = model.words.words + 2
-            columns, n, _ = _distinct(_received(blobs, order)[0], size)
-            _write(f"{model.folder}/{shard}.trie", build(columns, n, size))
-            yield pa.RecordBatch.from_arrays([pa.array([len(n)])], names=["n"])
+            for k, _, columns in _parts(_received(blobs, order)[0], model.shards):
+                columns, n, _ = _distinct(columns, size)
+                _write(f"{model.folder}/{shard}-{k}.trie", build(columns, n, size))
+                yield pa.RecordBatch.from_arrays([pa.array([len(n)])], names=["n"])
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     _without_leftovers(docs.sparkSession, lambda: c.to_shards(texts.mapInArrow(send, "shard int, rows binary"), "shard").mapInArrow(store, "n long").agg(F.sum("n")).collect())
@@ -418,10 +430,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows. Words never seen in training share one word's rest.
     """
 
-    def known(shard: int, columns: list[np.ndarray], _: object) -> np.ndarray:
+    def known(name: str, columns: list[np.ndarray], _: object) -> np.ndarray:
         words, at = np.unique(columns[0], return_inverse=True)
         lower = model.words.alone(words)[at]
-        path = f"{model.folder}/{shard}.trie"
+        path = f"{model.folder}/{name}.trie"
         return Shard(path).p(columns, lower) if os.path.exists(path) else lower
 
     return _scored(docs, model, known)
@@ -431,9 +443,9 @@ def scored(docs: DataFrame, order: int = 3) -> DataFrame:
     """What score(docs, train(docs, order)) gives, in one exchange of n-grams; no model stays but its vocabulary."""
     model = _begun(docs, order)
 
-    def known(shard: int, columns: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    def known(name: str, columns: list[np.ndarray], n: np.ndarray) -> np.ndarray:
         # a file of the task's own: another attempt at it may run at the same time
-        path = f"{model.folder}/{shard}-{uuid.uuid4().hex}.trie"
+        path = f"{model.folder}/{name}-{uuid.uuid4().hex}.trie"
         _write(path, build(columns, n, model.words.words + 2))
         try:
             trie = Shard(path)
@@ -444,8 +456,8 @@ def scored(docs: DataFrame, order: int = 3) -> DataFrame:
     return _scored(docs, model, known)
 
 
-def _scored(docs: DataFrame, model: Model, known: Callable[[int, list[np.ndarray], np.ndarray], np.ndarray]) -> DataFrame:
-    """known: the probabilities of a shard's distinct n-grams, from their columns and counts."""
+def _scored(docs: DataFrame, model: Model, known: Callable[[str, list[np.ndarray], np.ndarray], np.ndarray]) -> DataFrame:
+    """known: the probabilities of the distinct n-grams of a part of a shard, from its name, their columns and counts."""
     order, shards = model.order, model.shards
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,8 +491,11 @@ def _scored(docs: DataFrame, model: Model, known: Callable[[int, list[np.ndarray
         if not blobs:
             return
         columns, of = _received(blobs, order)
-        columns, n, inverse = _distinct(columns, model.words.words + 2)
-        bits = -np.log2(known(shard, columns, n))[inverse]
+        bits = np.empty(len(columns[0]))
+        for k, rows, some in _parts(columns, shards):
+            some, n, inverse = _distinct(some, model.words.words + 2)
+            bits[rows] = -np.log2(known(f"{shard}-{k}", some, n))[inverse]
+        columns.clear()
         at = 0
         for base, some in zip(bases, of):
             sums, n = np.bincount(some, bits[at : at + len(some)]), np.bincount(some)
