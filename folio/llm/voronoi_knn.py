@@ -91,7 +91,8 @@ def grouped(between: np.ndarray, sizes: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
-def planned(centres: np.ndarray, summary: list, k: int, groups: int) -> Plan:
+def planned(centres: np.ndarray, summary: list, k: int, tasks: int) -> Plan:
+    """No more groups than the queries need, since each may get every vector; blocks enough to keep ``tasks`` busy."""
     m = len(centres)
     sizes, asks, reach = np.zeros(m), np.zeros(m), np.zeros(m)
     radius, least = np.full(m, -np.inf), [np.zeros(0)] * m
@@ -102,13 +103,13 @@ def planned(centres: np.ndarray, summary: list, k: int, groups: int) -> Plan:
             radius[i] = row["ask_radius"]
     between = v.distances(centres, centres) if m else np.zeros((0, 0))
     limit = bounds(between, radius, least, k)
-    group = grouped(between, asks, groups)
+    group = grouped(between, asks, max(1, math.ceil(asks.sum() / BLOCK_QUERIES)))
     n = int(group.max()) + 1 if m else 0
     blocks, parts = np.ones(n, np.int64), np.ones(n, np.int64)
     for g in range(n):
         mine = np.flatnonzero(group == g)
         may = (between[mine] - reach[None] - (radius[mine] + limit[mine])[:, None] <= _SLACK).any(axis=0)
-        blocks[g] = max(1, math.ceil(sizes[may].sum() / BLOCK_VECTORS))
+        blocks[g] = max(1, math.ceil(sizes[may].sum() / BLOCK_VECTORS), tasks // n)
         parts[g] = max(1, math.ceil(asks[mine].sum() / BLOCK_QUERIES))
     return Plan(centres, between, radius, limit, group, blocks, parts, np.concatenate([[0], np.cumsum(blocks * parts)])[:-1])
 
