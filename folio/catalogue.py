@@ -78,6 +78,36 @@ rows(
     "o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-06-30'",
 )
 
+# fields that are nowhere, literals of another type, fields of mixed types
+rows("missing_field_eq", "orders", "o_orderkey", lambda x: x.where("nope").equals(1), "false")
+rows("missing_not_eq", "orders", "o_orderkey", lambda x: x.where("nope").not_().equals(1), "false")
+rows("missing_is_null", "nation", "n_nationkey", lambda x: x.where("nope").is_null().and_("n.ope").is_null(), "true")
+rows("eq_wrong_type", "orders", "o_orderkey", lambda x: x.where("o_orderkey").equals("42").or_().where("o_orderpriority").greater_than(3), "false")
+rows("not_eq_wrong_type", "nation", "n_nationkey", lambda x: x.where("n_nationkey").not_().equals("3"), "true")
+rows("contains_non_string", "orders", "o_orderkey", lambda x: x.where("o_orderkey").contains("1").or_().where("o_totalprice").starts_with("1").or_().where("o_orderkey").fts("10"), "false")
+rows("search_prefix_all", "nation", "n_nationkey", lambda x: x.where("n_name").search_prefix(""), "regexp_matches(lower(n_name), '[a-z0-9_]{2}')")
+
+
+def mixed(t: Tables) -> DataFrame:
+    """m holds a number in one document of four, a string in the next, then a boolean, then nothing."""
+    value = F.when(F.col("doc_id") % 4 == 0, F.to_json(F.struct(F.col("n_chars").alias("v")))).when(F.col("doc_id") % 4 == 1, F.to_json(F.struct(F.col("lang").alias("v")))).when(F.col("doc_id") % 4 == 2, F.lit('{"v":true}'))
+    return t("documents").select("doc_id", "n_chars", F.try_variant_get(F.parse_json(value), "$.v", "variant").alias("m"))
+
+
+def _mixed(name: str, build: Callable[[Query], Query], where: str) -> None:
+    add(name, lambda t: build(q(mixed(t), "doc_id")).select("doc_id").df(), f"SELECT doc_id FROM documents WHERE {where}")
+
+
+_mixed("mixed_eq", lambda x: x.where("m").equals("en").or_().where("m").equals(True).or_().where("m").equals(120), "(doc_id % 4 = 1 AND lang = 'en') OR doc_id % 4 = 2 OR (doc_id % 4 = 0 AND n_chars = 120)")
+_mixed("mixed_not_eq", lambda x: x.where("m").not_().equals("en"), "doc_id % 4 <> 3 AND NOT (doc_id % 4 = 1 AND lang = 'en')")
+_mixed("mixed_range", lambda x: x.where("m").between(200, 900.5).or_().where("m").greater_than("es"), "(doc_id % 4 = 0 AND n_chars BETWEEN 200 AND 900.5) OR (doc_id % 4 = 1 AND lang > 'es')")
+_mixed("mixed_strings", lambda x: x.where("m").contains("e").or_().where("m").starts_with("1"), "doc_id % 4 = 1 AND contains(lang, 'e')")
+_mixed("mixed_in", lambda x: x.where("m").is_in(["de", True, 300, None]), "(doc_id % 4 = 1 AND lang = 'de') OR doc_id % 4 = 2 OR (doc_id % 4 = 0 AND n_chars = 300)")
+_mixed("mixed_is_null", lambda x: x.where("m").is_null(), "doc_id % 4 = 3")
+add("mixed_sum", lambda t: aggregates.total(mixed(t), "m").select(F.col("sum").cast("double").alias("sum")), "SELECT sum(n_chars)::DOUBLE AS sum FROM documents WHERE doc_id % 4 = 0")
+add("missing_sum", lambda t: aggregates.total(t("orders"), "nope").select(F.col("sum").cast("double").alias("sum")), "SELECT 0::DOUBLE AS sum")
+add("json_path", lambda t: q(t("events").select("event_id", F.parse_json("props").alias("props")), "event_id").where("props.k").between(10, 20).and_("props.x").is_null().ids(), "SELECT event_id FROM events WHERE (props::JSON ->> '$.k')::BIGINT BETWEEN 10 AND 20")
+
 # strings and lists
 rows("contains", "part", "p_partkey", lambda x: x.where("p_name").contains("ol"), "contains(p_name, 'ol')")
 rows("contains_ignore_case", "part", "p_partkey", lambda x: x.where("p_name").contains("GE", ignore_case=True), "contains(lower(p_name), 'ge')")
@@ -145,8 +175,8 @@ def ranked(x: Query) -> DataFrame:
     return kept.join(known, "__part").withColumn("rank", F.col("__first") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "__first")
 
 
-def _whole(name: str, build: Callable[[Tables], Query], source: str, order: str) -> None:
-    add(name, lambda t: ranked(build(t)), f"SELECT *, row_number() OVER (ORDER BY {order}) AS rank FROM {source}")
+def _whole(name: str, build: Callable[[Tables], Query], source: str, order: str, columns: str = "*") -> None:
+    add(name, lambda t: ranked(build(t)), f"SELECT {columns}, row_number() OVER (ORDER BY {order}) AS rank FROM {source}")
 
 
 _whole("sort_asc_all", lambda t: q(t("orders"), "o_orderkey").sort_by("o_orderpriority"), "orders", "o_orderpriority, o_orderkey")
@@ -155,7 +185,13 @@ _whole("sort_nulls_last_all", lambda t: q(labelled(t), "doc_id").sort_by("qualit
 _whole("sort_desc_nulls_last_all", lambda t: q(labelled(t), "doc_id").sort_by("quality", descending=True), _DL, "quality DESC NULLS LAST, doc_id DESC")
 _whole("sort_only_all", lambda t: q(labelled(t), "doc_id").where("quality").always_true().sort_by("quality"), f"{_DL} WHERE quality IS NOT NULL", "quality, doc_id")
 
+_whole("missing_sort", lambda t: q(t("orders"), "o_orderkey").sort_by("nope"), "orders", "o_orderkey")
+_whole("mixed_sort", lambda t: q(mixed(t), "doc_id").sort_by("m").select("doc_id"), "documents", "CASE doc_id % 4 WHEN 3 THEN NULL ELSE doc_id % 4 END NULLS LAST, CASE doc_id % 4 WHEN 0 THEN n_chars END, CASE doc_id % 4 WHEN 1 THEN lang END, doc_id", "doc_id")
+
 # aggregates
+add("group_having", lambda t: aggregates.rolled(t("lineitem"), ["l_returnflag", "l_linestatus"], {"n": ("count", "l_linenumber"), "total": ("sum", "l_linenumber")}, having="n > 100"), "SELECT l_returnflag, l_linestatus, count(l_linenumber) AS n, sum(l_linenumber)::BIGINT AS total FROM lineitem GROUP BY ALL HAVING count(l_linenumber) > 100")
+add("group_rollup", lambda t: aggregates.rolled(t("lineitem"), ["l_returnflag", "l_linestatus"], {"top": ("max", "l_quantity")}, how="rollup"), "SELECT l_returnflag, l_linestatus, max(l_quantity) AS top FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+add("group_cube", lambda t: aggregates.rolled(t("orders"), ["o_orderstatus", "o_orderpriority"], {"low": ("min", "o_totalprice")}, how="cube"), "SELECT o_orderstatus, o_orderpriority, min(o_totalprice) AS low FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 add("count_where", lambda t: aggregates.count(q(t("orders"), "o_orderkey").where("o_orderstatus").equals("F").df()), "SELECT count(*) AS count FROM orders WHERE o_orderstatus = 'F'")
 add("count_paginated", lambda t: aggregates.count(q(t("orders"), "o_orderkey").where("o_orderstatus").equals("F").skip(5).limit(7).df()), "SELECT count(*) AS count FROM (SELECT 1 FROM orders WHERE o_orderstatus = 'F' LIMIT 7 OFFSET 5)")
 add("sum_where", lambda t: aggregates.total(q(t("lineitem"), "l_orderkey").where("l_returnflag").equals("R").df(), "l_quantity"), "SELECT sum(l_quantity) AS sum FROM lineitem WHERE l_returnflag = 'R'")
@@ -245,6 +281,75 @@ def _merge(c: Collection) -> None:
 _changed("update_merge", "customer", "c_custkey", _merge, f"SELECT _id, c_custkey, CASE WHEN _id = 5 THEN 'merged' ELSE c_name END AS c_name, c_nationkey, c_acctbal, c_mktsegment, CASE WHEN _id = 5 THEN true END AS vip FROM ({_IDS})")
 
 
+def _put_df(c: Collection) -> None:
+    new = c.df().where("c_mktsegment = 'BUILDING'").withColumn("c_name", F.upper("c_name"))
+    c.put_all(new.unionByName(c.df().where("_id = 1").withColumn("_id", F.lit(5_000_000))).drop("c_acctbal"))
+
+
+_changed("put_df", "customer", "c_custkey", _put_df, f"SELECT _id, c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN upper(c_name) ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END AS c_acctbal, c_mktsegment FROM ({_IDS}) UNION ALL SELECT 5000000, c_custkey, c_name, c_nationkey, NULL, c_mktsegment FROM ({_IDS}) WHERE _id = 1")
+
+
+def _widened(c: Collection) -> DataFrame:
+    c.update_where(lambda x: x.where("c_nationkey").greater_than(5), {"c_nationkey": "high"})
+    return c.query().select("_id").df().join(c.df().select("_id", F.try_variant_get("c_nationkey", "$", "string").alias("nation")), "_id")
+
+
+_changed("update_widens", "customer", "c_custkey", _widened, f"SELECT _id, CASE WHEN c_nationkey > 5 THEN 'high' ELSE c_nationkey::VARCHAR END AS nation FROM ({_IDS})")
+
+
+def _first_deleted(c: Collection) -> None:
+    c.delete_where(lambda x: x.where("c_mktsegment").equals("BUILDING").sort_by("c_acctbal").limit(7))
+
+
+_changed("delete_page", "customer", "c_custkey", _first_deleted, f"SELECT * FROM ({_IDS}) WHERE _id NOT IN (SELECT _id FROM ({_IDS}) WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal, _id LIMIT 7)")
+
+
+def _singles(c: Collection) -> None:
+    with c.batch():
+        c.insert({"c_custkey": -1, "c_name": "one"})
+        c.delete(2)
+        c.delete(10**9)
+
+
+_changed("insert_delete_one", "customer", "c_custkey", _singles, f"SELECT * FROM ({_IDS}) WHERE _id <> 2 UNION ALL SELECT (SELECT count(*) + 1 FROM customer), -1, 'one', NULL, NULL, NULL")
+
+
+def _sealed(c: Collection) -> None:
+    c.update_where(lambda x: x.where("c_mktsegment").equals("BUILDING"), {"c_name": "sealed"})
+    c.compact()
+
+
+_changed("sealed_round_trip", "customer", "c_custkey", _sealed, f"SELECT _id, c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'sealed' ELSE c_name END AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM ({_IDS})", encryption_key=b"0123456789abcdef")
+
+
+def _autocompact(c: Collection) -> DataFrame:
+    c.delete_where(lambda x: x.where("c_custkey").greater_than(10))
+    m = c.store.load()
+    return c.df().select("_id").withColumn("kind", F.lit(m.kinds[0])).withColumn("dead", F.lit(m.dead).cast("long"))
+
+
+_changed("autocompact", "customer", "c_custkey", _autocompact, f"SELECT _id, 'compact' AS kind, 0::BIGINT AS dead FROM ({_IDS}) WHERE c_custkey <= 10", auto_compact_share=0.5)
+
+
+def _streamed(c: Collection) -> DataFrame:
+    found = [(r["_id"], r["c_name"]) for r in c.find_stream(lambda x: x.where("c_mktsegment").equals("BUILDING"))]
+    return c.spark.createDataFrame(found, "_id long, c_name string")
+
+
+_changed("find_stream", "customer", "c_custkey", _streamed, f"SELECT _id, c_name FROM ({_IDS}) WHERE c_mktsegment = 'BUILDING'")
+
+
+def _json_copy(c: Collection) -> DataFrame:
+    path = scratch(c.spark)
+    c.export_json(path)
+    other = Collection.open(c.spark, scratch(c.spark))
+    other.import_json(path)
+    return other.df().drop("_id")
+
+
+_changed("json_copy", "customer", "c_custkey", _json_copy, f"SELECT {_CUST} FROM customer")
+
+
 def _update_where(c: Collection) -> None:
     c.update_where(lambda x: x.where("c_mktsegment").equals("BUILDING"), {"c_nationkey": 99})
 
@@ -305,6 +410,14 @@ def _watch(c: Collection) -> DataFrame:
     return seen[-1]
 
 
+def _late_text(c: Collection) -> DataFrame:
+    c.reindex()
+    c.delete_where(lambda x: x.where("doc_id").less_than(20))
+    c.insert({"doc_id": -1, "text": "with the late one"})
+    return c.query().where("text").fts("the with").select("doc_id").df()
+
+
+_changed("fts_posting_late", "documents", "doc_id", _late_text, f"SELECT doc_id FROM documents WHERE doc_id >= 20 AND list_has_all({_D}, ['the', 'with']) UNION ALL SELECT -1", fts_indexes=["text"])
 _changed("watch_snapshot", "events", "event_id", _watch, "SELECT row_number() OVER (ORDER BY event_id) AS _id FROM events WHERE user_id IS NOT NULL")
 
 

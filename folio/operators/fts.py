@@ -15,37 +15,44 @@ LEAST = 2
 
 def tokens(c: Column) -> Column:
     """Lower-case runs of ASCII letters, digits and underscores, of two characters or more."""
-    return F.filter(F.split(F.lower(c), _WORD), lambda t: F.length(t) >= LEAST)
+    return F.regexp_extract_all(F.lower(c), F.lit(rf"\w{{{LEAST},}}"), F.lit(0))
+
+
+def has_tokens(c: Column) -> Column:
+    return F.lower(c).rlike(rf"\w{{{LEAST}}}")
 
 
 def query_tokens(text: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.split(_WORD, text.lower(), flags=re.ASCII) if len(t) >= LEAST))
 
 
-def matches(c: Column, text: str) -> Column:
-    """Every token of the query is a token of the text; a query without tokens finds nothing."""
+def _each(text: str, test) -> Column:
     wanted = query_tokens(text)
-    if not wanted:
-        return F.lit(False)
-    found = tokens(c)
-    return reduce(and_, [F.array_contains(found, t) for t in wanted])
+    return reduce(and_, [test(t) for t in wanted]) if wanted else F.lit(False)
 
 
-def _each(c: Column, wanted: list[str], test) -> Column:
-    if not wanted:
-        return F.lit(False)
-    found = tokens(c)
-    return reduce(and_, [F.exists(found, test(w)) for w in wanted])
+def matches(c: Column, text: str) -> Column:
+    """Every token of the query is a token of the text; a query without tokens finds nothing."""
+    low = F.lower(c)
+    # the substring search leaves few texts to the slower search for word bounds
+    return _each(text, lambda t: low.contains(t) & low.rlike(rf"(?<!\w){t}(?!\w)"))
 
 
 def prefix_matches(c: Column, text: str) -> Column:
     """Every token of the query starts some token; ``*`` is allowed and has no meaning of its own."""
-    return _each(c, query_tokens(text), lambda w: lambda t: t.startswith(w))
+    low = F.lower(c)
+    return _each(text, lambda t: low.contains(t) & low.rlike(rf"(?<!\w){t}"))
+
+
+def search_prefix(c: Column, text: str) -> Column:
+    """prefix_matches, but that a query without tokens finds every text that has any."""
+    return prefix_matches(c, text) if query_tokens(text) else has_tokens(c)
 
 
 def part_matches(c: Column, text: str) -> Column:
-    """Every token of the query is part of some token."""
-    return _each(c, query_tokens(text), lambda w: lambda t: t.contains(w))
+    """Every token of the query is part of some token; one that is in the text lies in a token of it."""
+    low = F.lower(c)
+    return _each(text, low.contains)
 
 
 def postings(df: DataFrame, field: str, key: str = "_id") -> DataFrame:
@@ -65,8 +72,6 @@ def posting_keys(table: DataFrame, text: str, key: str = "_id") -> DataFrame:
 
 
 def stats(df: DataFrame, field: str) -> DataFrame:
-    """terms, documents and postings of a field's inverted table."""
-    found = df.select(F.array_distinct(tokens(F.col(field))).alias("t")).where(F.size("t") > 0)
-    docs = found.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size("t")), F.lit(0)).cast("long").alias("postings"))
-    terms = found.select(F.explode("t").alias("t")).agg(F.countDistinct("t").alias("terms"))
-    return terms.crossJoin(docs)
+    """terms, documents and postings of a field's inverted table, in one pass."""
+    found = df.select(F.posexplode(F.array_distinct(tokens(F.col(field)))).alias("at", "t"))
+    return found.agg(F.countDistinct("t").alias("terms"), F.count_if(F.col("at") == 0).alias("documents"), F.count(F.lit(1)).alias("postings"))

@@ -1,7 +1,7 @@
 """Predicate verbs as Columns.
 
 One null rule holds throughout: a row whose field is null or missing satisfies neither a verb nor its negation.
-Only ``is_null`` finds such rows.
+Only ``is_null`` finds such rows. A value of another family than the literal matches no verb, and so every negation.
 """
 
 from __future__ import annotations
@@ -14,56 +14,74 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folio.operators import fts
+from folio.operators.fields import STRING, Value, family
 
 
-def equals(c: Column, value: object) -> Column:
-    return F.lit(False) if value is None else c == value
+def _compared(v: Value, value: object, test: Callable[[Column, Column], Column]) -> Column:
+    return v.test(family(value), lambda c: test(c, v.like(value)))
 
 
-def between(c: Column, low: object, high: object) -> Column:
-    return c.between(low, high)
+def equals(v: Value, value: object) -> Column:
+    return _compared(v, value, lambda c, x: c == x)
 
 
-def greater_than(c: Column, value: object) -> Column:
-    return c > value
+def between(v: Value, low: object, high: object) -> Column:
+    """Both ends included; ends of two families have nothing between them."""
+    if family(low) != family(high):
+        return F.lit(False)
+    return _compared(v, low, lambda c, x: c.between(x, v.like(high)))
+
+
+def greater_than(v: Value, value: object) -> Column:
+    return _compared(v, value, lambda c, x: c > x)
 
 
-def greater_or_equal_to(c: Column, value: object) -> Column:
-    return c >= value
+def greater_or_equal_to(v: Value, value: object) -> Column:
+    return _compared(v, value, lambda c, x: c >= x)
 
 
-def less_than(c: Column, value: object) -> Column:
-    return c < value
+def less_than(v: Value, value: object) -> Column:
+    return _compared(v, value, lambda c, x: c < x)
 
 
-def less_than_or_equal_to(c: Column, value: object) -> Column:
-    return c <= value
+def less_than_or_equal_to(v: Value, value: object) -> Column:
+    return _compared(v, value, lambda c, x: c <= x)
 
 
-def contains(c: Column, part: str, ignore_case: bool = False) -> Column:
-    """Substring; the empty string is in no value."""
-    if part == "":
+def contains(v: Value, part: object, ignore_case: bool = False) -> Column:
+    """Substring of a string; the empty string is in no value."""
+    if not isinstance(part, str) or part == "":
         return F.lit(False)
-    return F.lower(c).contains(part.lower()) if ignore_case else c.contains(part)
+    return v.test(STRING, lambda c: F.lower(c).contains(part.lower()) if ignore_case else c.contains(part))
 
 
-def starts_with(c: Column, part: str, ignore_case: bool = False) -> Column:
-    """Prefix; the empty string starts every value."""
-    return F.lower(c).startswith(part.lower()) if ignore_case else c.startswith(part)
+def starts_with(v: Value, part: object, ignore_case: bool = False) -> Column:
+    """Prefix of a string; the empty string starts every string."""
+    if not isinstance(part, str):
+        return F.lit(False)
+    return v.test(STRING, lambda c: F.lower(c).startswith(part.lower()) if ignore_case else c.startswith(part))
 
 
-def is_in(c: Column, values: Iterable[object]) -> Column:
+def is_in(v: Value, values: Iterable[object]) -> Column:
     """Membership; nulls in the list match nothing."""
-    known = [v for v in values if v is not None]
-    return c.isin(known) if known else F.lit(False)
+    known: dict[str, list[object]] = {}
+    for x in values:
+        if (f := family(x)) is not None:
+            known.setdefault(f, []).append(x)
+    parts = [v.test(f, lambda c, xs=xs: c.isin([v.like(x) for x in xs])) for f, xs in known.items()]
+    return reduce(or_, [F.coalesce(p, F.lit(False)) for p in parts] if len(parts) > 1 else parts) if parts else F.lit(False)
+
+
+def always_true(v: Value) -> Column:
+    return v.known
 
 
-def always_true(c: Column) -> Column:
-    return c.isNotNull()
+def is_null(v: Value) -> Column:
+    return ~v.known
 
 
-def is_null(c: Column) -> Column:
-    return c.isNull()
+def _text(test: Callable[..., Column]) -> Callable[..., Column]:
+    return lambda v, text: test(v.text(), text) if isinstance(text, str) else F.lit(False)
 
 
 VERBS: dict[str, Callable[..., Column]] = {
@@ -76,23 +94,23 @@ VERBS: dict[str, Callable[..., Column]] = {
     "contains": contains,
     "starts_with": starts_with,
     "is_in": is_in,
-    "fts": fts.matches,
-    "fts_prefix": fts.prefix_matches,
-    "fts_contains": fts.part_matches,
+    "fts": _text(fts.matches),
+    "fts_prefix": _text(fts.prefix_matches),
+    "search_prefix": _text(fts.search_prefix),
+    "fts_contains": _text(fts.part_matches),
 }
 #: Verbs that a negation before them does not touch.
 UNNEGATED = {"always_true": always_true, "is_not_null": always_true, "is_null": is_null}
 
 
-def condition(field: str, verb: str, args: tuple, negated: bool = False) -> Column:
-    c = F.col(field)
+def condition(value: Value, verb: str, args: tuple, negated: bool = False) -> Column:
     if verb in UNNEGATED:
-        return UNNEGATED[verb](c)
-    found = VERBS[verb](c, *args)
+        return UNNEGATED[verb](value)
+    found = VERBS[verb](value, *args)
     if not negated:
         return found
     # a text without tokens is not indexed, so it is in no complement either
-    known = F.size(fts.tokens(c)) > 0 if verb.startswith("fts") else c.isNotNull()
+    known = F.coalesce(fts.has_tokens(value.text()), F.lit(False)) if verb.startswith(("fts", "search")) else value.known
     return known & ~F.coalesce(found, F.lit(False))
 
 

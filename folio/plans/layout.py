@@ -6,6 +6,9 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
+
+from folio.operators.fields import quoted, resolve
 
 KINDS = ("hash", "sorted", "bitmap", "composite", "fts")
 
@@ -32,24 +35,25 @@ class Index:
 
 
 def arranged(df: DataFrame, indexes: list[Index], files: int | None = None) -> DataFrame:
-    """Rows in the order that the indexes ask for: ranges of the first sorted or composite one, else of ``_id``.
+    """Rows in the order that the indexes ask for: ranges of the first sorted or composite one, else the values of the
+    bitmap fields, else ``_id``.
 
-    Row groups then hold narrow ranges, which scans skip by their statistics.
+    Row groups then hold narrow ranges or few values, and scans skip them by their statistics.
     """
-    order = next((i.fields for i in indexes if i.kind in ("sorted", "composite")), ())
-    keys = [f for f in order if f in df.columns] + ["_id"]
+    order = next((i.fields for i in indexes if i.kind in ("sorted", "composite")), ()) or tuple(f for i in indexes if i.kind == "bitmap" for f in i.fields)
+    # a VARIANT has no order in files
+    plain = {f.name for f in df.schema if isinstance(f.dataType, AtomicType)}
+    keys = [quoted(f) for f in order if f in plain] + ["_id"]
     return (df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
 
 
 def options(indexes: list[Index]) -> dict[str, str]:
-    """Parquet writer options: Bloom filters for equality on hash fields and the key, dictionaries for bitmap fields."""
+    """Parquet writer options: Bloom filters for equality on hash fields and the key."""
     out = {"parquet.bloom.filter.enabled#_id": "true"}
     for i in indexes:
         for f in i.fields:
             if i.kind in ("hash", "composite"):
                 out[f"parquet.bloom.filter.enabled#{f}"] = "true"
-            if i.kind == "bitmap":
-                out[f"parquet.enable.dictionary#{f}"] = "true"
     return out
 
 
@@ -59,7 +63,8 @@ def describe(df: DataFrame, fields: list[str]) -> DataFrame:
         return df.sparkSession.createDataFrame([], "field string, rows long, nulls long, distinct long")
     aggs = []
     for n, f in enumerate(fields):
-        aggs += [F.count(F.when(F.col(f).isNull(), 1)).alias(f"n{n}"), F.countDistinct(f).alias(f"d{n}")]
+        v = resolve(df.schema, f)
+        aggs += [F.count_if(~v.known).alias(f"n{n}"), F.countDistinct(v.key()).alias(f"d{n}")]
     row = df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
-    parts = ", ".join(f"named_struct('field', '{f}', 'rows', rows, 'nulls', n{n}, 'distinct', d{n})" for n, f in enumerate(fields))
-    return row.select(F.explode(F.expr(f"array({parts})")).alias("x")).select("x.*")
+    parts = [F.struct(F.lit(f).alias("field"), "rows", F.col(f"n{n}").alias("nulls"), F.col(f"d{n}").alias("distinct")) for n, f in enumerate(fields)]
+    return row.select(F.explode(F.array(*parts)).alias("x")).select("x.*")

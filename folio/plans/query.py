@@ -8,8 +8,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folio.operators import aggregates, fts
+from folio.operators.fields import resolve
 from folio.operators.predicates import UNNEGATED, condition, disjunction
 
 
@@ -20,15 +22,25 @@ class Condition:
     args: tuple = ()
     negated: bool = False
 
-    def column(self) -> Column:
-        return condition(self.field, self.verb, self.args, self.negated)
+    def column(self, schema: StructType) -> Column:
+        return condition(resolve(schema, self.field), self.verb, self.args, self.negated)
+
+
+@dataclass(frozen=True)
+class Postings:
+    """An inverted table of a field, the documents that it covers and those, if any, that it doesn't."""
+
+    table: DataFrame
+    covered: DataFrame
+    rest: DataFrame | None = None
 
 
 @dataclass(frozen=True)
 class Query:
-    """OR of AND groups over a DataFrame, with one sort key, skip and limit.
+    """OR of AND groups over a DataFrame, with one sort key, skip and limit. Fields need not exist: see operators.fields.
 
-    postings: inverted tables by field; a plain full-text condition on such a field becomes a semi-join.
+    postings: inverted tables by field; in a lone AND group plain full-text conditions on one such field become semi-joins
+    where the table covers the documents, and read the texts of the others alone.
     indexes: declared index of each field, for explain().
     """
 
@@ -40,7 +52,7 @@ class Query:
     skipped: int = 0
     limited: int | None = None
     columns: tuple[str, ...] = ()
-    postings: dict[str, DataFrame] = field(default_factory=dict)
+    postings: dict[str, Postings] = field(default_factory=dict)
     indexes: dict[str, str] = field(default_factory=dict)
 
     def where(self, name: str) -> Field:
@@ -70,32 +82,35 @@ class Query:
 
     def _filtered(self) -> DataFrame:
         live = [g for g in self.groups if g]
-        df = self.source
-        if len(live) == 1:
-            # a lone AND group may take its full-text conditions from inverted tables
-            rest = []
-            for c in live[0]:
-                if c.verb == "fts" and not c.negated and c.field in self.postings:
-                    df = df.join(fts.posting_keys(self.postings[c.field], *c.args, key=self.key), self.key, "left_semi")
-                else:
-                    rest.append(c)
-            live = [rest]
-        wanted = disjunction([[c.column() for c in g] for g in live])
-        return df if wanted is None else df.where(wanted)
+        schema = self.source.schema
+        served = next((c.field for c in live[0] if c.verb == "fts" and not c.negated and c.field in self.postings), None) if len(live) == 1 else None
+        if served is None:
+            return _where(self.source, disjunction([[c.column(schema) for c in g] for g in live]))
+        held = self.postings[served]
+        df, rest = held.covered, []
+        for c in live[0]:
+            if c.verb == "fts" and not c.negated and c.field == served:
+                df = df.join(fts.posting_keys(held.table, *c.args, key=self.key), self.key, "left_semi")
+            else:
+                rest.append(c.column(schema))
+        found = _where(df, disjunction([rest]))
+        if held.rest is None:
+            return found
+        return found.unionByName(_where(held.rest, disjunction([[c.column(schema) for c in live[0]]])))
 
     def df(self) -> DataFrame:
         """Sorted nulls last either way; ties by key, in the direction of the sort. Skip comes before limit."""
         df = self._filtered()
         if self.sort_field is not None:
-            c, k = F.col(self.sort_field), F.col(self.key)
-            df = df.orderBy(c.desc_nulls_last(), k.desc()) if self.descending else df.orderBy(c.asc_nulls_last(), k.asc())
+            by, k = resolve(self.source.schema, self.sort_field).order(), F.col(self.key)
+            df = df.orderBy(*[c.desc_nulls_last() for c in by], k.desc()) if self.descending else df.orderBy(*[c.asc_nulls_last() for c in by], k.asc())
         elif self.skipped or self.limited is not None:
             df = df.orderBy(self.key)
         if self.skipped:
             df = df.offset(self.skipped)
         if self.limited is not None:
             df = df.limit(self.limited)
-        return df.select(*self.columns) if self.columns else df
+        return df.select(*[resolve(self.source.schema, n).column.alias(n) for n in self.columns]) if self.columns else df
 
     def ids(self) -> DataFrame:
         return replace(self, columns=(self.key,)).df()
@@ -121,7 +136,8 @@ class Query:
 
     def column(self) -> Column | None:
         """The filter alone, as one Column."""
-        return disjunction([[c.column() for c in g] for g in self.groups])
+        schema = self.source.schema
+        return disjunction([[c.column(schema) for c in g] for g in self.groups])
 
     def explain(self, plan: bool = False) -> str:
         """The groups, what serves each condition, sort and page; with ``plan`` Spark's own plan as well."""
@@ -140,6 +156,10 @@ class Query:
         return "\n".join(lines)
 
 
+def _where(df: DataFrame, wanted: Column | None) -> DataFrame:
+    return df if wanted is None else df.where(wanted)
+
+
 @dataclass(frozen=True)
 class Field:
     """A field that waits for its verb."""
@@ -199,5 +219,9 @@ class Field:
     def fts_prefix(self, text: str) -> Query:
         return self._with("fts_prefix", text)
 
+    def search_prefix(self, text: str) -> Query:
+        """As fts_prefix; a text without tokens finds every row that has any."""
+        return self._with("search_prefix", text)
+
     def fts_contains(self, text: str) -> Query:
         return self._with("fts_contains", text)

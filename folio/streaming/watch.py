@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from folio.operators.fields import resolve
 from folio.sources.collection import Collection
 
-FEED = "version long, kind string"
+_MANIFEST = "version long, kinds array<string>"
 
 
 def changes(collection: Collection) -> DataFrame:
-    """The change feed as a stream: version and kind of every published change."""
-    return collection.spark.readStream.schema(FEED).parquet(f"{collection.store.path}/changes")
+    """The change feed as a stream: version and kind of every published change, read from the manifests themselves."""
+    found = collection.spark.readStream.schema(_MANIFEST).option("pathGlobFilter", "v*.json").option("ignoreMissingFiles", "true").json(f"{collection.store.path}/manifest")
+    return found.select("version", F.explode("kinds").alias("kind"))
 
 
 def watch(collection: Collection, field: str, listener: Callable[[int, DataFrame], None], checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -31,7 +33,7 @@ def watch(collection: Collection, field: str, listener: Callable[[int, DataFrame
         if newest is None:
             return
         df = collection.df(newest)
-        known = df.where(F.col(field).isNotNull()) if field in df.columns else df
+        known = df.where(resolve(df.schema, field).known) if field in df.columns else df
         listener(newest, known.select("_id").orderBy("_id"))
 
     writer = changes(collection).writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
