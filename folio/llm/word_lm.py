@@ -32,8 +32,8 @@ _ROWS = pa.schema([("shard", pa.int32()), ("rows", pa.binary())])
 _PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("bits", pa.float64())])
 #: Files of the vocabulary at most; classes of words, by the powers of two in their counts, of which the commonest come first.
 _FILES, _CLASSES = 64, 48
-#: Files of a shard, by its contexts' last words; one at a time is built or read.
-_PARTS_OF_SHARD = 8
+#: Shards for each shuffle partition, and files of a shard, by its contexts' last words; one at a time is built or read.
+_SHARDS, _PARTS_OF_SHARD = 2, 8
 
 
 def windows(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -392,7 +392,7 @@ def _begun(docs: DataFrame, order: int) -> Model:
         raise ValueError("order must be from 2 to 5")
     folder = c.local_path(c.fresh_dir(docs.sparkSession, "word-model"))
     os.makedirs(folder, exist_ok=True)
-    return Model(folder, order, c.partitions(docs.sparkSession), vocabulary(docs, folder))
+    return Model(folder, order, _SHARDS * c.partitions(docs.sparkSession), vocabulary(docs, folder))
 
 
 def train(docs: DataFrame, order: int = 3) -> Model:
@@ -418,7 +418,7 @@ def train(docs: DataFrame, order: int = 3) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([len(n)])], names=["n"])
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    _without_leftovers(docs.sparkSession, lambda: c.to_shards(texts.mapInArrow(send, "shard int, rows binary"), "shard").mapInArrow(store, "n long").agg(F.sum("n")).collect())
+    _without_leftovers(docs.sparkSession, lambda: texts.mapInArrow(send, "shard int, rows binary").repartitionById(model.shards, F.col("shard")).mapInArrow(store, "n long").agg(F.sum("n")).collect())
     return model
 
 
