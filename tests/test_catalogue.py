@@ -61,6 +61,6 @@ def test_stands_without_the_optional_part(gone):
         "import __spark_entry__ as e\n"
         "names = set(e.queries())\n"
         "assert 'topk' in names and 'pipeline' not in names and set(e.oracle_sql()) <= names\n"
-        f"assert any(k.startswith('op1_') for k in names) == ({gone} == ('corpus_pipeline',))\n"
+        f"assert any(k.startswith('op1_') for k in names) == ({gone} == ('corpus_pipeline',) and {(root / 'folio' / 'llm').exists()})\n"
     )
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
