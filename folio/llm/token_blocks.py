@@ -157,3 +157,15 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, percentile: float = 0.9)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, starts array<int>, data binary")
+
+
+def decoded(blocks: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """doc_id and text of what encode() gave; a null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(tokenizer)
+        for batch in batches:
+            texts = [None if data is None else enc.decode(decode(data, starts)) for data, starts in zip(batch.column("data").to_pylist(), batch.column("starts").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return blocks.select("doc_id", "starts", "data").mapInArrow(run, "doc_id long, text string")

@@ -27,6 +27,7 @@ def test_round_trip(spark):
         assert len(r.starts) == -(-len(want) // tb.BLOCK)
         for k, start in enumerate(r.starts):
             assert tb.decode_block(bytes(r.data), start).tolist() == want[k * tb.BLOCK : (k + 1) * tb.BLOCK]
+    assert {(r.doc_id, r.text) for r in tb.decoded(tb.encode(df)).collect()} == {(r.doc_id, r.text) for r in df.collect()}
     assert tb.encode(spark.createDataFrame([], df.schema)).count() == 0
 
 
