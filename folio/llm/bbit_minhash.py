@@ -3,7 +3,7 @@
 A document is the set of its word 3-grams (words in lower case, without punctuation). Of each of 128 minima four low
 bits are kept, 64 bytes a document; two documents match in a share of nibbles that, corrected for chance collisions,
 estimates their Jaccard similarity. Candidates are documents that agree in all full minima of one of 32 bands.
-Inside a bucket of candidates the matching ones are joined by searching outward from one document after another, so
+Long buckets are found from a sample and searched in blocks. Inside a bucket the matching candidates are joined by searching outward from one document after another, so
 a tight group of m copies costs m comparisons, not m * m, and no pair that could join two groups is left out.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import common as c
@@ -22,6 +22,8 @@ from folio.llm.components import components
 from folio.llm.repeats import searched
 
 BITS, PERMUTATIONS, BANDS, SHINGLE = 4, 128, 32, 3
+#: Candidates from which a bucket is long, and the share of candidates that is looked at to see which are.
+LONG, _SAMPLE = 4096, 0.02
 _ROWS = PERMUTATIONS // BANDS
 _LOW = c.U64(0x1111111111111111)
 _rng = np.random.default_rng(20240607)
@@ -130,17 +132,24 @@ def groups(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     similarity reaches ``threshold``; groups are the connected components.
 
     Null doc_id or text and texts without a letter or digit are in no group; rows that repeat a doc_id are one
-    document if their signatures are equal and else join the groups of each; other columns are ignored; an empty
-    table has no groups.
+    document if their signatures are equal and else join the groups of each; texts of any length count whole; other
+    columns are ignored; an empty table has no groups.
     """
     return _groups(c.keep(signatures(docs), "minhash"), threshold)
 
 
 def _groups(signed: DataFrame, threshold: float) -> DataFrame:
+    spark = signed.sparkSession
     # documents with the same minima throughout are one candidate
-    same = c.keep(signed.groupBy("sig", "bands").agg(F.min("doc_id").alias("rep"), F.collect_set("doc_id").alias("members")), "minhash-same")
+    same = c.keep(signed.groupBy("sig", "bands").agg(F.min("doc_id").alias("rep")), "minhash-same")
+    copies = signed.select("doc_id", "sig", F.xxhash64("bands").alias("h")).join(same.select("rep", "sig", F.xxhash64("bands").alias("h")), ["sig", "h"])
+    banded = same.select("rep", F.explode("bands").alias("band"))
+    # a sample only says which buckets are long and go in blocks; either way all of their pairs are searched
+    sampled = same.sample(fraction=_SAMPLE, seed=5).select(F.explode("bands").alias("band")).groupBy("band").count()
+    hot = c.keep(sampled.where(F.col("count") >= max(2, _SAMPLE * LONG)).select("band"), "minhash-long")
+    some = not hot.isEmpty()
     buckets = (
-        same.select("rep", F.explode("bands").alias("band"))
+        (banded.join(hot, "band", "left_anti") if some else banded)
         .groupBy("band").agg(F.sort_array(F.collect_set("rep")).alias("reps"))
         .where(F.size("reps") > 1).select("reps").distinct()
         .select(F.xxhash64("reps").alias("bucket"), F.explode("reps").alias("rep"))
@@ -160,26 +169,65 @@ def _groups(signed: DataFrame, threshold: float) -> DataFrame:
                 b += y
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    near = filled.mapInArrow(match, "a long, b long").where("a <> b")
-    copies = same.where(F.size("members") > 1).select(F.col("rep").alias("a"), F.explode("members").alias("b")).where("a <> b")
-    found = components(near.union(copies).distinct())
+    near = filled.mapInArrow(match, "a long, b long")
+    if some:
+        near = near.union(_in_blocks(same, hot, threshold, c.partitions(spark)))
+    found = components(near.union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))).where("a <> b").distinct())
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"), (F.col("node") == F.col("component")).alias("keep"))
 
 
+def _in_blocks(same: DataFrame, hot: DataFrame, threshold: float, shards: int) -> DataFrame:
+    """Links within long buckets: each is dealt into parts of about LONG candidates, and each pair of parts is searched by
+    itself, so that no bucket is one task's."""
+    rows = same.select("rep", "sig", F.explode("bands").alias("band")).join(hot, "band")
+    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / LONG).cast("long").alias("parts"))
+    own = F.pmod(F.xxhash64("rep", "band"), F.col("parts"))
+    cells = rows.join(sizes, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = cells.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "rep", "sig")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in c.runs_of(batches, "cell"):
+            ids = table.column("rep").to_numpy()
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(ids), -1)
+            order = np.argsort(ids, kind="stable")
+            x, y = links(ids[order], sig[order], threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    return cells.repartition(shards, "cell").sortWithinPartitions("cell").mapInArrow(match, "a long, b long")
+
+
 def first_of_each(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row of each near-duplicate group and all rows in none.
+    """One row of each near-duplicate group, the one of the least doc_id, and all rows in none.
 
-    Rows that repeat a doc_id with another text are documents of their own; of rows that repeat both one stays. Rows
-    with a null doc_id all stay.
+    Rows that repeat a doc_id with another text are documents of their own; of rows that repeat both the least stays, in
+    the order of their columns. Rows with a null doc_id all stay, and so do null and empty texts. Texts of any length
+    count whole. Columns stay as they are; an empty table gives no rows. Texts are not shuffled while what goes is few
+    enough to broadcast (c.BROADCAST_ROWS).
     """
     signed = c.keep(signatures(docs), "minhash")
-    numbered = signed.select("doc_id", "text_hash").distinct().orderBy("doc_id", "text_hash")
-    units = c.keep(numbered.withColumn("unit", F.monotonically_increasing_id()), "minhash-rows")
-    found = _groups(signed.join(units, ["doc_id", "text_hash"]).select(F.col("unit").alias("doc_id"), "sig", "bands"), threshold)
-    gone_name, hash_name, row_name = c.unused(docs, "__gone"), c.unused(docs, "__hash"), c.unused(docs, "__row")
-    gone_hash = c.unused(docs, "__gone_hash")
-    gone = found.where("NOT keep").select(F.col("doc_id").alias("unit")).join(units, "unit").select(F.col("doc_id").alias(gone_name), F.col("text_hash").alias(gone_hash))
-    hashed = docs.withColumn(hash_name, F.xxhash64(F.col("text").cast("string")))
-    left = hashed.join(gone, (F.col("doc_id").cast("long") == F.col(gone_name)) & (F.col(hash_name) == F.col(gone_hash)), "left_anti")
-    order = Window.partitionBy("doc_id", hash_name, "text").orderBy(hash_name)
-    return left.withColumn(row_name, F.row_number().over(order)).where(F.col("doc_id").isNull() | (F.col(row_name) == 1)).drop(row_name, hash_name)
+    texts = signed.select("doc_id", "text_hash").distinct()
+    # an id with several texts: its least keeps the id, each other one gets a new id above all
+    least = texts.groupBy("doc_id").agg(F.min("text_hash").alias("least"), F.count("*").alias("n")).where("n > 1")
+    others = texts.join(least, "doc_id").where("text_hash <> least").select("doc_id", "text_hash")
+    others = c.keep(others.orderBy("doc_id", "text_hash").withColumn("unit", F.monotonically_increasing_id()), "minhash-rows")
+    if others.isEmpty():
+        units = signed.select("doc_id", "text_hash", F.col("doc_id").alias("unit"), "sig", "bands")
+        gone = _groups(signed.select("doc_id", "sig", "bands"), threshold).where("NOT keep").select(F.col("doc_id").alias("unit"))
+        gone = gone.join(units.select("doc_id", "text_hash", "unit"), "unit")
+    else:
+        above = signed.agg(F.max("doc_id") + 1).first()[0]
+        units = c.keep(signed.join(others, ["doc_id", "text_hash"], "left").withColumn("unit", F.coalesce(F.col("unit") + above, "doc_id")), "minhash-units")
+        gone = _groups(units.select(F.col("unit").alias("doc_id"), "sig", "bands"), threshold).where("NOT keep").select(F.col("doc_id").alias("unit"))
+        gone = gone.join(units.select("doc_id", "text_hash", "unit"), "unit")
+    hash_name, id_name = c.unused(docs, "__hash"), c.unused(docs, "__id")
+    key = [F.col("doc_id").cast("long").alias(id_name), F.xxhash64(F.col("text").cast("string")).alias(hash_name)]
+    gone = c.few(c.keep(gone.select(F.col("doc_id").alias(id_name), F.col("text_hash").alias(hash_name)).distinct(), "minhash-gone"))
+    left = docs.select("*", *key).join(gone, [id_name, hash_name], "left_anti")
+    again = docs.select(*key).where(F.col(id_name).isNotNull()).groupBy(id_name, hash_name).count().where("count > 1").select(id_name, hash_name)
+    again = c.few(c.keep(again, "minhash-again"))
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(again, [id_name, hash_name], "left_anti").select(*docs.columns)
+    rows = F.struct(*docs.columns)
+    repeated = left.join(again, [id_name, hash_name], "left_semi").groupBy(id_name, hash_name, F.col("text").alias(c.unused(docs, "__text"))).agg(F.min_by(rows, F.to_json(rows)).alias("row"))
+    return once.union(repeated.select("row.*"))
