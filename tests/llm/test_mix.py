@@ -1,6 +1,7 @@
 """Pivotal rounding: totals hit their targets, expectations are kept, runs repeat."""
 
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -62,6 +63,47 @@ def test_rounding_keeps_expectations():
     assert held >= 0 and abs(out.sum() - 0.7) < 1e-12
 
 
+def outcomes(p):
+    """All results of rounding in pairs with their chances, in exact fractions: places of 0, 1 and at most one open."""
+    states = {(tuple(p), -1): Fraction(1)}
+    for i in range(len(p)):
+        new = {}
+        for (x, held), chance in states.items():
+            if x[i] in (0, 1) or held < 0:
+                branches = [(x, held if x[i] in (0, 1) else i, Fraction(1))]
+            else:
+                a, b = x[held], x[i]
+                low, high = ((Fraction(0), a + b)) if a + b <= 1 else (a + b - 1, Fraction(1))
+                # mass moves so that each keeps its expectation: the first ends low with the chance that solves it
+                first_high = (a - low) / (high - low)
+                branches = []
+                for part, (u, v) in ((first_high, (high, low)), (1 - first_high, (low, high))):
+                    y = list(x)
+                    y[held], y[i] = u, v
+                    open_ = [k for k in (held, i) if y[k] not in (0, 1)]
+                    branches.append((tuple(y), open_[0] if open_ else -1, part))
+            for y, h, part in branches:
+                if part:
+                    new[y, h] = new.get((y, h), 0) + chance * part
+        states = new
+    return states
+
+
+@pytest.mark.parametrize("p", [["1/4", "1/2", "3/4"], ["1/3", "1/3", "1/3", "1/2"], ["9/10", "4/5", "1/10", "0", "7/10"], ["1/2", "1"]])
+def test_rounding_against_all_outcomes(p):
+    p = [Fraction(x) for x in p]
+    want = outcomes(p)
+    for i, x in enumerate(p):
+        assert sum(s[0][i] * chance for s, chance in want.items()) == x
+    rng, seen, n = np.random.default_rng(7), Counter(), 6000
+    for _ in range(n):
+        out, held = pm.pivotal(np.array([float(x) for x in p]), rng.random(len(p)))
+        key = (tuple(Fraction(float(x)).limit_denominator(1000) for x in out), held)
+        assert key in want
+        seen[key] += 1
+    assert all(abs(seen[k] / n - float(chance)) < 0.03 for k, chance in want.items())
+
+
 def test_edges(spark):
     extra = [(0, "t", "a", 9), (None, "n", "a", 9), (500, None, None, 9), (501, "", None, 9)]
     df = docs(spark, {"a": 20, "b": 2}, extra)
