@@ -25,11 +25,15 @@ _HITS = pa.schema([("hit_doc", pa.int64()), ("hits", pa.binary())])
 def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Maximal spans of at least ``min_words`` white-space words that repeat an earlier occurrence.
 
-    The result, and what happens to nulls, empty texts, repeated rows, other columns and empty tables, is that of
-    suffix_family.repeated_spans; the two find it in different ways.
+    The result, and what happens to nulls, empty and very long texts, repeated rows, exact copies, other columns and
+    empty tables, is that of suffix_family.repeated_spans; the two find it in different ways.
     """
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
+    return r.with_copies(docs, min_words, lambda some: _spans(some, min_words))
+
+
+def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     spark = docs.sparkSession
     shards, block = c.partitions(spark), (min_words + 1) // 2
 

@@ -38,18 +38,17 @@ def fingerprints(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def pack_windows(ids: np.ndarray, offsets: np.ndarray, at: np.ndarray, keys: np.ndarray, spread: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    """Windows at flat positions ``at`` (ascending), as one packed row for each shard."""
+    """Windows at flat positions ``at`` (ascending), as one packed row for each shard, with the documents that it needs."""
     order, bounds = c.split_by(spread % c.U64(shards), shards)
-    held = np.zeros(len(ids), bool)
-    held[np.searchsorted(offsets, at, "right") - 1] = True
-    some = ids[held]
-    starts, sizes = offsets[:-1][held], np.diff(offsets)[held]
-    head = (np.diff(some, prepend=0), c.narrow(np.diff(starts, prepend=0)), c.narrow(sizes))
+    of = np.searchsorted(offsets, at, "right") - 1
+    starts, sizes = offsets[:-1], np.diff(offsets)
     for s in range(shards):
         mine = order[bounds[s] : bounds[s + 1]]
         if len(mine):
+            held = of[mine]
+            held = held[np.append(True, np.diff(held) != 0)]
             # the keys are noise: only the other columns gain by compression
-            yield s, c.pack(*head, c.narrow(np.diff(at[mine], prepend=0)), keys[mine])
+            yield s, c.pack(np.diff(ids[held], prepend=0), c.narrow(np.diff(starts[held], prepend=0)), c.narrow(sizes[held]), c.narrow(np.diff(at[mine], prepend=0)), keys[mine])
 
 
 def unpack_windows(blob: bytes) -> Columns:
@@ -64,13 +63,18 @@ def searched(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
+def slice_bytes(shards: int) -> int:
+    """Text that one packed row of each shard is made of: more where there are more shards, four times as much at most."""
+    return min(4 * c.SLICE_BYTES, max(c.SLICE_BYTES, shards << 14))
+
+
 def windows(docs: DataFrame, width: int, key_of: Callable[[np.ndarray], Columns]) -> DataFrame:
     """Every window of ``width`` words of every document, packed for the shard of its text."""
     shards = c.partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in c.slices(batch):
+            for part in c.slices(batch, most=slice_bytes(shards)):
                 offsets, codes, words = c.word_codes(part.column("text"))
                 at = c.starts_of_windows(offsets, width)
                 if len(at):
@@ -154,6 +158,47 @@ def runs(found: DataFrame, width: int) -> DataFrame:
     return c.to_shards(found, "shard").mapInArrow(run, SPANS)
 
 
+def with_copies(docs: DataFrame, width: int, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The spans that ``find`` gives for all documents, found among those that are no exact copy of another.
+
+    Of texts that are equal (by a 64-bit hash and their length) the one of the least doc_id is searched. The others have
+    its spans, and repeat it wherever it repeats nothing; so a text that a third of all rows hold is searched once.
+    """
+    rows = searched(docs).withColumn("h", F.xxhash64("text")).withColumn("n", F.length("text"))
+    several = rows.groupBy("h", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    several = c.few(c.keep(several, "copied-texts"))
+    if several.isEmpty():
+        return find(docs)
+    found = c.keep(find(rows.join(several, ["h", "n"], "left").where("first IS NULL OR first = doc_id").select("doc_id", "text")), "spans-of-firsts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in c.slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(c.word_counts(part.column("text")))], names=["doc_id", "n_words"])
+
+    members = rows.select("doc_id", "h", "n").join(several, ["h", "n"]).where("doc_id <> first").select("doc_id", "first").distinct()
+    firsts = rows.join(several, ["h", "n"]).where("doc_id = first").select("doc_id", "text").mapInArrow(count, "doc_id long, n_words long").distinct()
+    # a document's spans are no more than its words
+    held = found.groupBy("doc_id", "n_words").agg(F.collect_list(F.struct("start_word", "length", "ref_doc_id", "ref_start_word")).alias("spans"))
+    held = firsts.where(F.col("n_words") >= width).join(held, ["doc_id", "n_words"], "left").withColumnRenamed("doc_id", "first")
+
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[int]] = []
+            for doc, first, size, spans in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "first", "n_words", "spans"))):
+                free = np.ones(size - width + 3, bool)
+                free[[0, -1]] = False
+                for x in spans or ():
+                    out.append([doc, size, *x.values()])
+                    free[1 + x["start_word"] : 2 + x["start_word"] + x["length"] - width] = False
+                edges = np.flatnonzero(np.diff(free)).reshape(-1, 2)
+                out += [[doc, size, int(a), int(b - a) + width - 1, first, int(a)] for a, b in edges]
+            for a in range(0, len(out), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[a : a + 20_000])], schema=_SPANS)
+
+    return found.union(members.join(held, "first").select("doc_id", "first", "n_words", "spans").mapInArrow(copied, SPANS))
+
+
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Documents without the words of their spans; a document that had words and keeps none goes.
 

@@ -83,11 +83,16 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     start_word, length, ref_doc_id, ref_start_word (the original; the least (doc_id, n_words, position) of the equal
     texts). Spans with different originals are separate and may overlap. Repeats inside one document count.
 
-    Null doc_id or text, empty texts and texts of fewer than min_words words have no spans; rows that repeat a
-    document (same doc_id and number of words) count once; other columns are ignored; an empty table gives none.
+    Null doc_id or text, empty texts and texts of fewer than min_words words have no spans; texts of any length are
+    searched whole; rows that repeat a document (same doc_id and number of words) count once; other columns, of
+    whatever name, are ignored; an empty table gives none. Exact copies are searched once (repeats.with_copies).
     """
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
+    return r.with_copies(docs, min_words, lambda some: _spans(some, min_words))
+
+
+def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     spark = docs.sparkSession
     shards = c.partitions(spark)
     suffixes = r.windows(docs, min_words, lambda words: r.fingerprints(words, min_words))

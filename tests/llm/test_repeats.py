@@ -50,6 +50,22 @@ def test_against_brute_force(spark, find, width):
     assert all(s.length >= width for s in spans)
 
 
+@pytest.mark.parametrize("find", [suffix_family.repeated_spans, block_anchors.repeated_spans])
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_a_third_of_all_rows_are_copies(spark, monkeypatch, find, most):
+    monkeypatch.setattr(repeats.c, "BROADCAST_ROWS", most)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([4, 12, 60]))) for _ in range(30)]
+    copied = " ".join(texts[1].split()[:9] + texts[2].split() + texts[1].split()[:9] + ["x"] * 30)
+    rows = [(100 + i, t) for i, t in enumerate(texts)] + [(rng.randint(0, 10**6), copied) for _ in range(20)] + [(50, texts[4]), (51, texts[4]), (7, "short text"), (8, "short text")]
+    # one id with two texts, of which one is a copy
+    rows += [(60, texts[5]), (60, "other " * 3 + texts[6])]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, h int, first int")
+    for width in (3, 8):
+        assert windows(find(df, width).collect(), width) == brute(rows, width)
+
+
 def test_planted_passage_of_51_words(spark):
     rng = random.Random(1)
     make = lambda n: [f"v{rng.randint(0, 10**9)}" for _ in range(n)]
