@@ -3,15 +3,16 @@
 Counts cover every white-space word of every document, and the model grows with the corpus. Two exchanges make it. The
 first counts word pairs, which gives the vocabulary: ids by falling frequency, and before how many different words each
 word stands after. The second sends every n-gram, as ids, to the shard of its context. A context is read backwards; a
-shard holds all contexts whose last word is dealt to it, so a context lies beside its back-off contexts. Each shard is a
-file: its levels hold pointers, labels and ranks of successors within those of the shorter context in Elias-Fano form,
+shard holds all contexts whose last word is dealt to it, so a context lies beside its back-off contexts; contexts that end
+in a hot word are dealt by two words, and the counts of that word alone are made apart. Each shard is a few files: its levels hold pointers, labels and ranks of successors within those of the shorter context in Elias-Fano form,
 shares and back-off weights in one byte each. A corpus that is to be scored by its own model takes the second exchange
-once: each task builds its shard, maps it, scores what came with it and drops the file.
+once: each task builds its shard, maps it, scores what came with it and drops the files.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,6 +33,9 @@ _ROWS = pa.schema([("shard", pa.int32()), ("rows", pa.binary())])
 _PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("bits", pa.float64())])
 #: Files of the vocabulary at most; classes of words, by the powers of two in their counts, of which the commonest come first.
 _FILES, _CLASSES = 64, 48
+#: A word that stands before so many times a shard's share of all words is hot, and its contexts are dealt to several shards;
+#: how many candidates for that a vocabulary file names.
+_HOT, _TOP = 4.0, 256
 #: Shards for each shuffle partition, and files of a shard, by its contexts' last words; one at a time is built or read.
 _SHARDS, _PARTS_OF_SHARD = 2, 8
 
@@ -67,8 +71,9 @@ class Vocabulary:
     """Ids of words, from 1 by falling frequency, in files that tasks map: sorted hashes, the place of each among the
     file's words by class, and, by place, how many different words a word stands after."""
 
-    def __init__(self, folder: str, sizes: np.ndarray, ahead: int) -> None:
-        self.folder, self.sizes, self.ahead = folder, sizes, ahead  # sizes: (files, classes)
+    def __init__(self, folder: str, sizes: np.ndarray, ahead: int, total: int, top: dict[int, int]) -> None:
+        # sizes: (files, classes); total: of all counts; top: the counts of the commonest words, by hash
+        self.folder, self.sizes, self.ahead, self.total, self.top = folder, sizes, ahead, total, top
         self.words = int(sizes.sum())
         # classes one after the other, in each the files one after the other
         self.bases = 1 + (np.cumsum(sizes.T.reshape(-1)) - sizes.T.reshape(-1)).reshape(sizes.T.shape).T
@@ -169,16 +174,22 @@ def vocabulary(docs: DataFrame, folder: str) -> Vocabulary:
         place = np.empty(len(by), np.uint32)
         place[by] = np.arange(len(by))
         _write(f"{folder}/{k}.words", known.tobytes() + place.tobytes() + ahead[by].astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.diff(bounds).tolist()]), pa.array([int(ahead.sum())])], names=["file", "sizes", "ahead"])
+        most = np.argsort(-count, kind="stable")[:_TOP]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k]), pa.array([np.diff(bounds).tolist()]), pa.array([int(ahead.sum())]), pa.array([int(count.sum())]), pa.array([known[most].view(np.int64).tolist()]), pa.array([count[most].astype(int).tolist()])],
+            names=["file", "sizes", "ahead", "total", "top", "counts"],
+        )
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     sums = c.to_shards(texts.mapInArrow(pairs, "shard int, rows binary"), "shard").mapInArrow(counted, "shard int, rows binary")
-    sizes, ahead = np.zeros((files, _CLASSES), np.int64), 0
-    # one row for each of _FILES files at most
-    for r in _without_leftovers(spark, lambda: sums.repartitionById(files, F.col("shard")).mapInArrow(stored, "file long, sizes array<long>, ahead long").collect()):
+    sizes, ahead, total, top = np.zeros((files, _CLASSES), np.int64), 0, 0, {}
+    # one row for each of _FILES files at most, with _TOP words
+    for r in _without_leftovers(spark, lambda: sums.repartitionById(files, F.col("shard")).mapInArrow(stored, "file long, sizes array<long>, ahead long, total long, top array<long>, counts array<long>").collect()):
         sizes[r["file"]] = r["sizes"]
         ahead += r["ahead"]
-    return Vocabulary(folder, sizes, ahead)
+        total += r["total"]
+        top |= dict(zip(r["top"], r["counts"]))
+    return Vocabulary(folder, sizes, ahead, total, top)
 
 
 def _coded(by: np.ndarray, bounds: np.ndarray, hashes: np.ndarray, columns: list[np.ndarray], n: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
@@ -203,15 +214,49 @@ def _without_leftovers(spark: SparkSession, job: Callable[[], object]) -> object
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
 
 
-def _grams(texts: pa.Array, order: int, known: Vocabulary, shards: int) -> tuple[np.ndarray, Iterator[tuple[int, bytes]]]:
+class Deal:
+    """Which shard holds a context: by its last word, for hot words by the one before that as well."""
+
+    def __init__(self, shards: int, hot: np.ndarray, splits: np.ndarray) -> None:
+        self.shards, self.hot, self.splits = shards, hot, splits  # hot: ids, ascending
+
+    @staticmethod
+    def of(known: Vocabulary, shards: int, order: int) -> Deal:
+        share = max(1.0, known.total / shards)
+        hashes = np.array([h for h, n in known.top.items() if n > max(1.0, _HOT) * share] if order > 2 else [], np.int64).view(np.uint64)
+        ids = known.ids(hashes)
+        by = np.argsort(ids)
+        return Deal(shards, ids[by].astype(np.int64), np.array([math.ceil(known.top[int(h)] / share) for h in hashes.view(np.int64)], np.int64)[by])
+
+    def split(self, ids: np.ndarray) -> np.ndarray:
+        """How many shards the contexts are dealt to that end in each word."""
+        out = np.ones(len(ids), np.int64)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, ids), len(self.hot) - 1)
+            hit = self.hot[at] == ids
+            out[hit] = self.splits[at[hit]]
+        return out
+
+    def shard(self, ids: np.ndarray, last: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+        """ids of codes; codes of the last word of each context and of the one before."""
+        mixed = c.mix(ids.astype(np.uint64))
+        out = (mixed % c.U64(self.shards)).astype(np.int64)[last]
+        if len(self.hot):
+            splits = self.split(ids)[last]
+            some = np.flatnonzero(splits > 1)
+            out[some] = (out[some] + (mixed[before[some]] >> c.U64(20)).astype(np.int64) % splits[some]) % self.shards
+        return out
+
+
+def _grams(texts: pa.Array, order: int, known: Vocabulary, deal: Deal) -> tuple[np.ndarray, Iterator[tuple[int, bytes]]]:
     """Offsets of texts; for each shard the n-grams of the contexts that it holds, as ids, with the text of each."""
     offsets, columns, hashes = windows(texts, order)
     ids = known.ids(hashes)
     of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
     def packed() -> Iterator[tuple[int, bytes]]:
-        by, bounds = c.split_by((c.mix(ids.astype(np.uint64)) % c.U64(shards)).astype(np.int64)[columns[1]], shards)
-        for s in range(shards):
+        by, bounds = c.split_by(deal.shard(ids, columns[1], columns[2] if order > 2 else None), deal.shards)
+        for s in range(deal.shards):
             m = by[bounds[s] : bounds[s + 1]]
             if len(m):
                 # words of one context together: the column of the word before shrinks to almost nothing
@@ -251,8 +296,52 @@ def _distinct(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], n
     return [x[first] for x in columns], n, inverse
 
 
-def build(columns: list[np.ndarray], n: np.ndarray, size: int) -> bytes:
-    """The file of a shard; columns and n: from _distinct; size: more than any id."""
+def hot_pairs(docs: DataFrame, known: Vocabulary, deal: Deal) -> None:
+    """Of each hot word a file in the vocabulary's folder: the words after it and before how many different words each such
+    pair stands after. No shard has all contexts of such a word, so none could count them. Pairs are dealt by both words, and
+    what goes on to the task of a hot word is a row for each different word after it."""
+    spark, shards = docs.sparkSession, deal.shards
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in c.slices(batch):
+                _, (word, last, before), hashes = windows(part.column("text"), 3)
+                ids = known.ids(hashes)
+                m = np.flatnonzero((deal.split(ids) > 1)[last])
+                if len(m):
+                    (before, last, word), _, _ = _distinct([before[m], last[m], word[m]], len(ids))
+                    spread = c.mix(ids[last].astype(np.uint64) << c.U64(32) | ids[word].astype(np.uint64)) % c.U64(shards)
+                    by, bounds = c.split_by(spread.astype(np.int64), shards)
+                    mine = [by[bounds[s] : bounds[s + 1]] for s in range(shards)]
+                    yield _rows((s, c.pack(*(ids[x[at]] for x in (last, word, before)))) for s, at in enumerate(mine) if len(at))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, blobs = _taken(batches)
+        if blobs:
+            last, word, before = (np.concatenate(x) for x in zip(*(c.unpack(b) for b in blobs)))
+            # in the order of last, word, before
+            (_, last, word), _, _ = _distinct([before, last, word], known.words + 2)
+            pair = np.flatnonzero(np.append(True, (last[1:] != last[:-1]) | (word[1:] != word[:-1])))
+            last, word, n = last[pair], word[pair], np.diff(np.append(pair, len(last)))
+            begin = np.flatnonzero(np.append(True, last[1:] != last[:-1]))
+            for a, b in zip(begin, np.append(begin[1:], len(last))):
+                yield _rows([(int(np.searchsorted(deal.hot, last[a])), c.pack(word[a:b], n[a:b].astype(np.uint32)))])
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, blobs = _taken(batches)
+        if blobs:
+            word, n = (np.concatenate(x) for x in zip(*(c.unpack(b) for b in blobs)))
+            by = np.argsort(word)
+            _write(f"{known.folder}/{deal.hot[k]}.pairs", np.stack([word[by], n[by]]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([len(word)])], names=["n"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    rows = "shard int, rows binary"
+    _without_leftovers(spark, lambda: texts.mapInArrow(send, rows).repartitionById(shards, F.col("shard")).mapInArrow(count, rows).repartitionById(len(deal.hot), F.col("shard")).mapInArrow(store, "n long").agg(F.sum("n")).collect())
+
+
+def build(columns: list[np.ndarray], n: np.ndarray, size: int, hot: dict[int, str] | None = None) -> bytes:
+    """The file of a shard; columns and n: from _distinct; size: more than any id; hot: files of hot words, see hot_pairs."""
     order = len(columns)
     node, parents, labels = np.zeros(len(n), np.int64), [], []
     new = np.zeros(len(n), bool)
@@ -268,6 +357,15 @@ def build(columns: list[np.ndarray], n: np.ndarray, size: int) -> bytes:
     for k in range(order - 2, -1, -1):
         longer = keys[k + 1]
         keys[k], values[k] = np.unique(parents[k][longer // size] * size + longer % size, return_counts=True)
+    mine = np.flatnonzero(np.isin(labels[0], list(hot))) if hot else ()
+    more = {int(u): np.fromfile(hot[int(labels[0][u])], np.uint32).reshape(2, -1) for u in mine}
+    for u, (word, after) in more.items():
+        # this shard has some of the contexts only, but their shorter one whole
+        a, b = np.searchsorted(keys[1], (u * size, u * size + size))
+        keys[1] = np.concatenate([keys[1][:a], u * size + word.astype(np.int64), keys[1][b:]])
+        values[1] = np.concatenate([values[1][:a], after.astype(np.int64), values[1][b:]])
+    if more:
+        keys[0] = c.uniques(np.concatenate([keys[0], *(word.astype(np.int64) for word, _ in more.values())]))
     heads: list[dict] = []
     blobs: list[np.ndarray] = []
 
@@ -373,10 +471,11 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """A trained model: its vocabulary and the folder of its shards."""
+    """A trained model: its vocabulary, where its contexts are and the folder of its shards."""
 
-    def __init__(self, folder: str, order: int, shards: int, words: Vocabulary) -> None:
-        self.folder, self.order, self.shards, self.words = folder, order, shards, words
+    def __init__(self, folder: str, order: int, words: Vocabulary, deal: Deal) -> None:
+        self.folder, self.order, self.words, self.deal, self.shards = folder, order, words, deal, deal.shards
+        self.pairs = {int(word): f"{words.folder}/{word}.pairs" for word in deal.hot}
 
 
 def _write(path: str, data: bytes) -> None:
@@ -392,7 +491,11 @@ def _begun(docs: DataFrame, order: int) -> Model:
         raise ValueError("order must be from 2 to 5")
     folder = c.local_path(c.fresh_dir(docs.sparkSession, "word-model"))
     os.makedirs(folder, exist_ok=True)
-    return Model(folder, order, _SHARDS * c.partitions(docs.sparkSession), vocabulary(docs, folder))
+    words = vocabulary(docs, folder)
+    deal = Deal.of(words, _SHARDS * c.partitions(docs.sparkSession), order)
+    if len(deal.hot):
+        hot_pairs(docs, words, deal)
+    return Model(folder, order, words, deal)
 
 
 def train(docs: DataFrame, order: int = 3) -> Model:
@@ -406,7 +509,7 @@ def train(docs: DataFrame, order: int = 3) -> Model:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in c.slices(batch):
-                yield _rows(_grams(part.column("text"), order, model.words, model.shards)[1])
+                yield _rows(_grams(part.column("text"), order, model.words, model.deal)[1])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, blobs = _taken(batches)
@@ -414,7 +517,7 @@ def train(docs: DataFrame, order: int = 3) -> Model:
             size = model.words.words + 2
             for k, _, columns in _parts(_received(blobs, order)[0], model.shards):
                 columns, n, _ = _distinct(columns, size)
-                _write(f"{model.folder}/{shard}-{k}.trie", build(columns, n, size))
+                _write(f"{model.folder}/{shard}-{k}.trie", build(columns, n, size, model.pairs))
                 yield pa.RecordBatch.from_arrays([pa.array([len(n)])], names=["n"])
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
@@ -446,7 +549,7 @@ def scored(docs: DataFrame, order: int = 3) -> DataFrame:
     def known(name: str, columns: list[np.ndarray], n: np.ndarray) -> np.ndarray:
         # a file of the task's own: another attempt at it may run at the same time
         path = f"{model.folder}/{name}-{uuid.uuid4().hex}.trie"
-        _write(path, build(columns, n, model.words.words + 2))
+        _write(path, build(columns, n, model.words.words + 2, model.pairs))
         try:
             trie = Shard(path)
             return trie.stored(model.words.alone(trie.words))
@@ -466,7 +569,7 @@ def _scored(docs: DataFrame, model: Model, known: Callable[[str, list[np.ndarray
         none = pa.nulls(1, pa.list_(pa.int64()))
         for batch in batches:
             for part in c.slices(batch):
-                offsets, packed = _grams(part.column("text"), order, model.words, shards)
+                offsets, packed = _grams(part.column("text"), order, model.words, model.deal)
                 base = (task << 40) + row
                 for s, blob in packed:
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary()), pa.array([base]), none, none], names=names)

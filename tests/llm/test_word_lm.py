@@ -51,6 +51,21 @@ def test_against_plain_python(spark, order):
     assert all((g[2] is None) == (w[2] is None) and (w[2] is None or abs(g[2] - w[2]) < 0.05) for g, w in zip(got, want))
 
 
+@pytest.mark.parametrize("order", [3, 5])
+def test_hot_words_are_dealt_to_several_shards(spark, monkeypatch, order):
+    monkeypatch.setattr(word_lm, "_HOT", 0.2)
+    rng = np.random.default_rng(order)
+    texts = [" ".join("the" if rng.random() < 0.4 else f"w{int(k)}" for k in rng.zipf(1.4, 40) % 60) for _ in range(50)] + ["the the the the the", "", None]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, brute = word_lm.train(corpus, order), Brute([t for t in texts if t], order)
+    assert len(model.deal.hot) > 1 and model.deal.splits.max() > 2
+    other = [(100, "the w1 the w2 unknown the"), (101, "w3 w3 the the w9")]
+    want = {i: brute.bits(t) for i, t in [*enumerate(texts), *other] if t and i % 10 < 2}
+    for got in (word_lm.scored(corpus, order), word_lm.score(corpus.union(spark.createDataFrame(other, corpus.schema)), model)):
+        rows = {r.doc_id: r.bits_per_word for r in got.collect()}
+        assert all(abs(rows[i] - b) < 0.05 for i, b in want.items() if i in rows) and len(rows) in (53, 55)
+
+
 def test_query_knows_the_order_of_words(spark, tmp_path):
     words = [f"{i % 40:04d}-a-long-word" for i in range(400)]
     shuffled = [words[i] for i in np.random.default_rng(2).permutation(400)]
