@@ -68,9 +68,9 @@ def slice_bytes(shards: int) -> int:
     return min(4 * c.SLICE_BYTES, max(c.SLICE_BYTES, shards << 14))
 
 
-def windows(docs: DataFrame, width: int, key_of: Callable[[np.ndarray], Columns]) -> DataFrame:
+def windows(docs: DataFrame, width: int, key_of: Callable[[np.ndarray], Columns], shards: int | None = None) -> DataFrame:
     """Every window of ``width`` words of every document, packed for the shard of its text."""
-    shards = c.partitions(docs.sparkSession)
+    shards = shards or c.partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +139,8 @@ def classes(key: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray)
     return tuple(x[first] for x in (key, doc, size, pos)), tuple(x[other] for x in (key, doc, size, pos))
 
 
-def runs(found: DataFrame, width: int) -> DataFrame:
-    """Neighbouring repeated windows that follow one original become one maximal span."""
+def runs(found: DataFrame, width: int, shards: int | None = None) -> DataFrame:
+    """Neighbouring repeated windows that follow one original become one maximal span. shards: of ``found``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for batch in batches for x in batch.column("rows").to_pylist()]
@@ -155,7 +155,7 @@ def runs(found: DataFrame, width: int) -> DataFrame:
         for a in range(0, len(at), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 20_000].astype(np.int64)) for x in out], schema=_SPANS)
 
-    return c.to_shards(found, "shard").mapInArrow(run, SPANS)
+    return found.repartitionById(shards or c.partitions(found.sparkSession), F.col("shard")).mapInArrow(run, SPANS)
 
 
 def with_copies(docs: DataFrame, width: int, find: Callable[[DataFrame], DataFrame]) -> DataFrame:

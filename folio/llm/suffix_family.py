@@ -5,6 +5,7 @@ document they come from. In each shard the slices of the corpus arrive as batche
 into a suffix array cut at ``min_words`` words, ordered by the fingerprints of the first and the second half of
 that prefix; the sorted array is merge-scanned against every level of the family; what is new joins the family as
 a level, and levels of equal rank merge, so n batches leave log2 n levels and each suffix is merged log2 n times.
+repeated_spans() does this for one corpus; an Index keeps the family in a folder and takes more batches in later calls.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folio.llm import common as c
 from folio.llm import repeats as r
@@ -113,3 +115,88 @@ def _spans(docs: DataFrame, min_words: int) -> DataFrame:
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Documents with every repeated span cut out but its original; see repeated_spans and repeats.cut."""
     return r.cut(docs, c.keep(repeated_spans(docs, min_words), "suffix-spans"))
+
+
+_ROWS = "shard int, kind int, rank int, rows binary"
+_STORED = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("rank", pa.int32()), ("rows", pa.binary())])
+_LEVEL, _REPEATED, _BATCH = 0, 1, 2
+
+
+def _loaded(batches: Iterator[pa.RecordBatch]) -> tuple[int, Family, list[bytes]]:
+    """A shard's number, its family and the packed rows of a new batch."""
+    shard, family, new = -1, Family(), []
+    for batch in batches:
+        for s, kind, rank, rows in zip(*(batch.column(k).to_pylist() for k in ("shard", "kind", "rank", "rows"))):
+            shard = s
+            if kind == _BATCH:
+                new.append(rows)
+            elif kind == _LEVEL:
+                family.levels.append((rank, tuple(c.unpack(rows))))
+            else:
+                family.repeated.append(tuple(c.unpack(rows)))
+    family.levels.sort(key=lambda level: -level[0])
+    return shard, family, new
+
+
+class Index:
+    """A family in a folder, to which batches are added in calls of their own.
+
+    Each call writes a version of the folder: the levels of every shard and what was found to repeat so far. A batch is
+    scanned against all levels and becomes a level; equal ranks merge, so n batches leave log2 n levels. What spans()
+    gives is that of repeated_spans() over all batches together, whatever their number and order. A version is complete
+    once it is written; one that was not is passed over by open().
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, min_words: int = 50, shards: int | None = None) -> None:
+        if min_words < 2:
+            raise ValueError("min_words must be at least 2")
+        self.spark, self.folder, self.min_words, self.shards, self.version = spark, folder.rstrip("/"), min_words, shards or c.partitions(spark), 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Index:
+        """The newest complete version in a folder."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        version, shards, words = max(tuple(map(int, n[1:].split("-"))) for n in names)
+        found = cls(spark, folder, words, shards)
+        found.version = version
+        return found
+
+    def _at(self, version: int) -> str:
+        return f"{self.folder}/v{version}-{self.shards}-{self.min_words}"
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(_ROWS).parquet(self._at(self.version)) if self.version else self.spark.createDataFrame([], _ROWS)
+
+    def add(self, docs: DataFrame) -> None:
+        """Add a batch. Nulls, empty and very long texts and repeated rows count as in repeated_spans(); an empty batch
+        changes nothing."""
+        width = self.min_words
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard, family, new = _loaded(batches)
+            if new:
+                family.add(*(np.concatenate(x) for x in zip(*map(r.unpack_windows, new))))
+            for rank, columns in family.levels:
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([_LEVEL], pa.int32()), pa.array([rank], pa.int32()), pa.array([c.pack(*columns)])], schema=_STORED)
+            if family.repeated:
+                columns = [np.concatenate(x) for x in zip(*family.repeated)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([_REPEATED], pa.int32()), pa.array([0], pa.int32()), pa.array([c.pack(*columns)])], schema=_STORED)
+
+        batch = r.windows(docs, width, lambda words: r.fingerprints(words, width), self.shards).select("shard", F.lit(_BATCH).alias("kind"), F.lit(0).alias("rank"), "rows")
+        rows = batch.union(self._stored()).repartitionById(self.shards, F.col("shard"))
+        rows.mapInArrow(step, _ROWS).write.mode("overwrite").parquet(self._at(self.version + 1))
+        self.version += 1
+
+    def spans(self) -> DataFrame:
+        """The repeated spans of all batches so far; see repeated_spans()."""
+        shards = self.shards
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            columns = _loaded(batches)[1].found()
+            if len(columns[0]):
+                yield r.by_document(columns, shards)
+
+        rows = self._stored().repartitionById(shards, F.col("shard"))
+        return r.runs(rows.mapInArrow(found, r.PACKED), self.min_words, shards)

@@ -93,6 +93,27 @@ def test_family_levels_are_geometric():
     assert {(int(a), int(b), int(r), int(b + s)) for a, b, r, s in zip(doc, pos, ref, shift)} == want
 
 
+def test_batches_added_in_several_calls(spark, tmp_path):
+    rows = corpus(5)
+    random.Random(2).shuffle(rows)
+    folder, width = str(tmp_path / "family"), 7
+    index = suffix_family.Index(spark, folder, width, shards=3)
+    assert index.spans().count() == 0
+    for n, at in enumerate(range(0, len(rows), 15), 1):
+        index.add(spark.createDataFrame(rows[at : at + 15], "doc_id long, text string"))
+        if n in (2, 3):
+            assert windows(index.spans().collect(), width) == brute(rows[: at + 15], width)
+            index = suffix_family.Index.open(spark, folder)
+        ranks = [r.rank for r in spark.read.parquet(index._at(index.version)).where("kind = 0 AND shard = 0").collect()]
+        assert sorted(ranks) == [b for b in range(5) if n >> b & 1]
+    assert windows(index.spans().collect(), width) == brute(rows, width)
+    index.add(spark.createDataFrame([], "doc_id long, text string"))
+    index.add(spark.createDataFrame(rows[:20], "doc_id long, text string"))  # known already
+    assert windows(index.spans().collect(), width) == brute(rows, width)
+    with pytest.raises(ValueError):
+        suffix_family.Index(spark, folder, 1)
+
+
 def test_cutting(spark):
     passage = " ".join(f"p{i}" for i in range(12))
     rows = [(1, f"one two\n{passage} three.", "en", "s", 0), (2, f"four {passage}\nfive", "en", "s", 0), (3, passage, None, None, None), (4, None, "en", "s", 3), (None, passage, "en", "s", 3), (5, "", "en", "s", 0), (6, "clean text", "en", "s", 77)]
