@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folio.operators import aggregates, fts
 from folio.plans import layout
@@ -421,9 +422,19 @@ _changed("fts_posting_late", "documents", "doc_id", _late_text, f"SELECT doc_id
 _changed("watch_snapshot", "events", "event_id", _watch, "SELECT row_number() OVER (ORDER BY event_id) AS _id FROM events WHERE user_id IS NOT NULL")
 
 
+#: schemas by path: a table is opened without a job once it is known
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: build(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        return lambda spark, sf_dir: build(lambda name: table(spark, f"{sf_dir}/{name}.parquet"))
 
     return {name: bound(build) for name, (build, _) in _BUILT.items()}
 

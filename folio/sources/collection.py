@@ -501,7 +501,8 @@ class Collection:
             tables = {}
             for i in declared:
                 if i.kind == "fts" and i.fields[0] in m.struct.names and self.store.key is None:
-                    table = fts.postings(self.store.read(m), i.fields[0]).repartitionByRange("token").sortWithinPartitions("token", "_id")
+                    # by hash: ranges would be drawn from a first pass over all texts
+                    table = fts.postings(self.store.read(m), i.fields[0]).repartition("token").sortWithinPartitions("token", "_id")
                     names = self.store.write(table, {"parquet.bloom.filter.enabled#token": "true"})
                     if names:
                         tables[i.fields[0]] = (names[0].rsplit("/", 1)[0], m.files)
