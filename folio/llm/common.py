@@ -10,6 +10,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +39,45 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/folio/{name}-{uuid.uuid4().hex}"
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def fresh_dir(spark: SparkSession, name: str, outside: bool = False) -> str:
+    """A new path in the shared folder, inside the current scope if there is one and ``outside`` isn't said."""
+    base = None if outside else _scope.get()
+    return f"{base or shared_dir(spark) + '/folio'}/{name}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it is computed once and outlives any executor."""
     spark = df.sparkSession
-    path = fresh_dir(spark, name)
+    path = fresh_dir(spark, name, outside)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what keep() wrote for ``df``; it and what is made of it can't be read after that."""
+    _delete(df.sparkSession, df.kept_at)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are kept inside go at the end; what is to stay must be kept outside by then."""
+    path = fresh_dir(spark, "scope")
+    token = _scope.set(path)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Rows of at most two numbers that may be broadcast: about 100 MB in an executor.
