@@ -6,6 +6,8 @@ one target shard as compressed numpy columns, so a record costs a few bytes in t
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -89,6 +91,16 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def trim() -> None:
+    """Give memory that is free inside this process back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {x.lower() for x in df.columns}

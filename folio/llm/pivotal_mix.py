@@ -134,9 +134,14 @@ def _arrow(rows: pd.DataFrame) -> Iterator[pa.RecordBatch]:
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, total: float | None = None, seed: int = 11) -> DataFrame:
-    """Each row as often as copies() says; a row with a null doc_id once. Columns stay as they are."""
+    """Each row as often as copies() says; a row with a null doc_id once. Columns stay as they are.
+
+    Only documents that do not occur just once are joined. Texts are not shuffled while these are few enough to broadcast
+    (c.BROADCAST_ROWS).
+    """
     doc, source, times, copy = (c.unused(docs, x) for x in ("__doc", "__source", "__copies", "__copy"))
-    n = copies(docs, weights, alpha, total, seed).select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("copies").alias(times))
+    n = copies(docs, weights, alpha, total, seed).where("copies <> 1").select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("copies").alias(times))
+    n = c.few(c.keep(n, "mix-copies"))
     rows = docs.join(n, (F.col("doc_id").cast("long") == F.col(doc)) & F.col("source").cast("string").eqNullSafe(F.col(source)), "left")
-    known = F.coalesce(F.col(times), F.when(F.col("doc_id").isNull(), 1).otherwise(0)).cast("int")
+    known = F.coalesce(F.col(times), F.lit(1)).cast("int")
     return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), known))).drop(doc, source, times, copy)
