@@ -37,6 +37,7 @@ class Collection:
         self._work: Manifest | None = None
         self._kinds: list[str] = []
         self._closed = False
+        self._held: tuple[int, DataFrame] | None = None
 
     # lifecycle
 
@@ -69,6 +70,7 @@ class Collection:
         return cls.open(spark, tempfile.mkdtemp(prefix="folio-"), **options)
 
     def close(self) -> None:
+        self._drop_cache()
         self._closed = True
 
     @property
@@ -99,6 +101,7 @@ class Collection:
                 self._work = after
                 self._kinds.append(kind)
                 return result
+            self._drop_cache()
             try:
                 self.store.publish(advanced(after, version=before.version + 1), [kind])
             except Conflict:
@@ -168,8 +171,21 @@ class Collection:
             if held:
                 postings[name] = Postings(self.spark.read.parquet(f"{self.store.path}/{path}"), self.store.read(m, held), self.store.read(m, rest) if rest else None)
         kinds = {i.fields[0] if len(i.fields) == 1 else i.name: i.kind for i in self.indexes()}
+        if self._held and self._held[0] == m.version and self._work is None:
+            return Query(self._held[1], indexes=kinds)
         return Query(self.store.read(m), postings=postings, indexes=kinds)
 
+    def cache(self) -> None:
+        """Hold the documents of this version in the executors' memory. Queries read them there until a change."""
+        self._drop_cache()
+        m = self._state()
+        self._held = (m.version, self.store.read(m).persist())
+
+    def _drop_cache(self) -> None:
+        if self._held:
+            self._held[1].unpersist()
+            self._held = None
+
     def _near(self, low: int, high: int) -> DataFrame:
         """The documents with keys from low to high, from the files that may hold them."""
         m = self._state()

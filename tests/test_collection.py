@@ -329,3 +329,15 @@ def test_json_files(spark, c, tmp_path):
     assert c.query().where("b.c").is_not_null().find_ids() == [1] and c.sum_where(None, "a") == 3.5
     c.export_json(str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_cache_follows_versions(c):
+    c.insert_all([{"n": 1}, {"n": 2}])
+    c.cache()
+    assert "InMemoryTableScan" in c.query().where("n").equals(2).explain(plan=True) and c.query().where("n").equals(2).find_ids() == [2]
+    other = Collection(c.spark, c.store.path)
+    other.insert({"n": 2})  # of another writer: what is held is of an earlier version
+    assert c.query().where("n").equals(2).find_ids() == [2, 3]
+    c.cache()
+    c.delete(2)
+    assert "InMemoryTableScan" not in c.query().explain(plan=True) and c.query().where("n").equals(2).find_ids() == [3]
