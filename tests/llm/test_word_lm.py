@@ -6,8 +6,11 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from folio.llm import queries, word_lm
+from folio.llm.elias_fano import Sequence, encode
 
 TEXTS = ["the cat sat on the mat", "the dog sat on the log", "ñandú über  straße", "a a a a", "a", "", None, " ", "the the the cat sat"]
 
@@ -102,3 +105,29 @@ def test_a_corpus_by_its_own_model(spark, order):
     for k in range(0, 40, 13):
         if one[repr(k)].n_words:
             assert abs(one[repr(k)].bits_per_word - brute.bits(texts[k])) < 0.05
+
+
+def test_probabilities_sum_to_one(spark):
+    texts = [t for t in TEXTS if t and t.strip()]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = word_lm.train(corpus, 3)
+    words = sorted({w for t in texts for w in t.split()}) + ["never-seen"]
+    contexts = ["the cat", "sat on the", "a", "unknown words", "the"]
+    rows = [(i, c) for i, c in enumerate(contexts)] + [(1000 * (i + 1) + k, f"{c} {w}") for i, c in enumerate(contexts) for k, w in enumerate(words)]
+    bits = {r.doc_id: r.n_words * r.bits_per_word for r in word_lm.score(spark.createDataFrame(rows, corpus.schema), model).collect()}
+    for i in range(len(contexts)):
+        assert abs(sum(2 ** (bits[i] - bits[1000 * (i + 1) + k]) for k in range(len(words))) - 1) < 0.03
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**40), min_size=1, max_size=200), st.lists(st.tuples(st.integers(0, 200), st.integers(0, 200), st.integers(0, 2**40)), max_size=20))
+def test_elias_fano(values, searches):
+    v = np.sort(np.array(values, np.uint64))
+    s = Sequence(*encode(v))
+    assert (s.get(np.arange(len(v))) == v).all() and (s.all() == v).all()
+    if searches:
+        a, b, t = (np.array(x) for x in zip(*searches))
+        a, b = np.minimum(a, len(v)), np.minimum(b, len(v))
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        want = [x + np.searchsorted(v[x:y], np.uint64(z)) for x, y, z in zip(lo, hi, t)]
+        assert s.successor(lo, hi, t.astype(np.uint64)).tolist() == want
