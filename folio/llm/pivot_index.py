@@ -39,12 +39,15 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, nearest: int
     """One row for each vector: vec_id, class_id (the least vec_id that a chain of links leads to, its own without
     any) and links, the number of other vectors whose cosine to it, to 6 places, is at least ``threshold``.
 
-    A link is found if its vectors share two of their ``nearest`` pivots (one, if there is one pivot in all); equal vectors are always linked. Null ids and
-    vectors, vectors with null, infinite or NaN entries, of length zero or of another dimension than most are left
-    out. Rows that repeat a vec_id are one vector, the least. Other columns are ignored; an empty table gives no rows.
+    Vectors of each dimension are compared among themselves. A link is found if its vectors share two of their ``nearest`` pivots (one, if there is one pivot in all); equal vectors are always linked. Null ids and
+    vectors, vectors with null, infinite or NaN entries and those of length zero are left out. Rows that repeat a vec_id are
+    one vector, the least. Other columns are ignored; an empty table gives no rows.
     """
-    spark = embeddings.sparkSession
     rows = c.keep(v.valid(embeddings).where(F.exists("v", lambda x: x != 0)), "vectors")
+    return v.by_dimension(rows, lambda some: _classes(some, threshold, nearest, n_pivots))
+
+
+def _classes(rows: DataFrame, threshold: float, nearest: int, n_pivots: int | None) -> DataFrame:
     same = rows.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     units = c.keep(same.select(F.col("rep").alias("id"), "v", "n"), "vector-units")
     copies = rows.join(same.select("v", "rep", "n"), "v").select("id", "rep", "n")

@@ -113,11 +113,7 @@ _NEAR = f"""
     reached(doc_id, least) AS (SELECT DISTINCT a, a FROM near UNION SELECT near.b, r.least FROM reached r JOIN near ON near.a = r.doc_id)
     SELECT doc_id, min(least) AS group_id, doc_id = min(least) AS keep FROM reached GROUP BY doc_id"""
 
-_VECTORS = """
-    raw AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-    v AS (SELECT vec_id, min(embedding)::DOUBLE[] AS e FROM raw
-          WHERE len(embedding) = (SELECT len(embedding) FROM raw GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)
-          GROUP BY vec_id)"""
+_VECTORS = "v AS (SELECT vec_id, min(embedding)::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 GROUP BY vec_id)"
 
 
 def queries() -> dict[str, Query]:
@@ -143,12 +139,12 @@ def oracle_sql() -> dict[str, str]:
         "op6_pivot_index": f"""
     WITH RECURSIVE {_VECTORS},
     u AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0),
-    p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE round(list_cosine_similarity(a.e, b.e), 6) >= 0.95),
+    p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE round(list_cosine_similarity(a.e, b.e), 6) >= 0.95),
     reached(vec_id, least) AS (SELECT vec_id, vec_id FROM u UNION SELECT p.b, r.least FROM reached r JOIN p ON p.a = r.vec_id)
     SELECT vec_id, min(least) AS class_id, (SELECT count(*) FROM p WHERE p.a = reached.vec_id) AS links FROM reached GROUP BY vec_id""",
         "op10_voronoi_knn": f"""
     WITH {_VECTORS},
-    p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+    p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) AS rank FROM p)
     SELECT query_id, neighbor_id, rank::INTEGER AS rank, round(d, 6) AS distance FROM r WHERE rank <= 10""",
     }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,15 +12,19 @@ from pyspark.sql import functions as F
 
 
 def valid(df: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """id and v of every usable vector: those with an id, of the commonest dimension (the larger of two), with
-    finite entries only. Of rows that repeat an id the least vector counts."""
+    """id and v of every usable vector: those with an id and with finite entries only, one or more. Of rows that repeat an
+    id the least vector counts."""
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(finite)
-    best = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    if best is None:
-        return rows.limit(0)
-    return rows.where(F.size("v") == best["dim"]).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.groupBy("id").agg(F.min("v").alias("v"))
+
+
+def by_dimension(rows: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``work`` gives for the vectors of each dimension, put together. A table has one dimension, or few."""
+    dims = [r["dim"] for r in rows.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect()]
+    parts = [work(rows.where(F.size("v") == d)) for d in dims] if len(dims) > 1 else [work(rows)]
+    return reduce(DataFrame.union, parts)
 
 
 def pivots(df: DataFrame, count: int) -> np.ndarray:

@@ -118,16 +118,20 @@ def neighbours(embeddings: DataFrame, k: int = 10, every: int = 1, n_pivots: int
     """The k nearest other vectors of each query, by Euclidean distance: query_id, neighbor_id, rank from 1, distance
     (6 places). Queries are the vectors whose vec_id is divisible by ``every``; all vectors answer.
 
-    Equal distances rank by the lesser id, so ranks are definite. With fewer than k others all are given. Null ids
-    and vectors, vectors with null, infinite or NaN entries and of another dimension than most neither ask nor
-    answer. Rows that repeat a vec_id are one vector, the least; a vector is never its own neighbour. Other columns
+    Equal distances rank by the lesser id, so ranks are definite. With fewer than k others all are given. Vectors of each
+    dimension are searched among themselves. Null ids and vectors and vectors with null, infinite or NaN entries neither
+    ask nor answer. Rows that repeat a vec_id are one vector, the least; a vector is never its own neighbour. Other columns
     are ignored; an empty table gives no rows.
     """
     if k < 1 or every < 1:
         raise ValueError("k and every must be at least 1")
-    spark = embeddings.sparkSession
-    shards = c.partitions(spark)
     rows = c.keep(v.valid(embeddings), "knn-vectors")
+    return v.by_dimension(rows, lambda some: _neighbours(some, k, every, n_pivots))
+
+
+def _neighbours(rows: DataFrame, k: int, every: int, n_pivots: int | None) -> DataFrame:
+    spark = rows.sparkSession
+    shards = c.partitions(spark)
     n = rows.count()
     centres = v.pivots(rows, n_pivots or min(MAX_PIVOTS, max(4, math.ceil(math.sqrt(n)))))
     shared = spark.sparkContext.broadcast(centres)

@@ -72,7 +72,7 @@ def test_knn_sends_less_than_everything():
 def test_edges(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.001], 0), (2, [1.0, 0.001], 0), (3, [0.0, 0.0], 0), (None, [1.0, 0.0], 0), (4, None, 0), (5, [], 0), (6, [1.0], 0), (7, [math.nan, 1.0], 0), (8, [math.inf, 1.0], 0), (9, [None, 1.0], 0), (10, [1.0, 0.0], 0)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA + ", id int, v int")
-    assert {tuple(r) for r in pivot_index.near_duplicates(df).collect()} == {(1, 1, 2), (2, 1, 2), (10, 1, 2)}
+    assert {tuple(r) for r in pivot_index.near_duplicates(df).collect()} == {(1, 1, 2), (2, 1, 2), (10, 1, 2), (6, 6, 0)}
     knn = voronoi_knn.neighbours(df, k=10).collect()
     assert {(r.query_id, r.neighbor_id) for r in knn} == {(a, b) for a in (1, 2, 3, 10) for b in (1, 2, 3, 10) if a != b}
     assert [r.neighbor_id for r in sorted(knn, key=lambda r: r["rank"]) if r.query_id == 1] == [10, 2, 3]
@@ -83,6 +83,22 @@ def test_edges(spark):
         voronoi_knn.neighbours(df, k=0)
 
 
+def test_each_dimension_by_itself(spark):
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for dim, at in ((4, 0), (7, 1000), (2, 2000)):
+        x = np.vstack([rng.normal(size=(40, dim)), np.ones((3, dim))]).astype(np.float32)
+        rows += [(at + i, [float(f) for f in r], 1) for i, r in enumerate(x)]
+        want |= {q: found for q, found in brute(x, np.arange(at, at + 43), 5).items() if q % 10 == 0}
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for r in voronoi_knn.neighbours(df, k=5, every=10).collect():
+        got.setdefault(r.query_id, []).append((r.neighbor_id, r["rank"]))
+    assert {q: sorted(f, key=lambda p: p[1]) for q, f in got.items()} == want
+    found = {r.vec_id: r for r in pivot_index.near_duplicates(df, 0.9999).collect()}
+    assert len(found) == 129 and all(found[at + i].class_id == at + 40 and found[at + i].links >= 2 for at in (0, 1000, 2000) for i in (40, 41, 42) if at != 2000)
+
+
 def classes(hit):
     """The least member of each row's component."""
     least = np.arange(len(hit))
