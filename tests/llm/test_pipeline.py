@@ -80,6 +80,21 @@ def test_stages_take_empty_tables(spark, folder):
         assert stage(spark, docs, path).count() == 0
 
 
+def test_stages_agree_on_words(spark, folder):
+    """Words joined by no-break spaces are words to dedup and to packing."""
+    path = folder[0]
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(1, "\u00a0".join(passage + [f"a{i}" for i in range(90)])), (2, "\u00a0".join([f"b{i}" for i in range(70)] + passage + ["end"])), (3, "\u2003".join(f"c{i}" for i in range(200)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    stage = dict(cp.STAGES)
+    cut = stage["repeats"](spark, docs, path)
+    assert {r.doc_id: len(r.text.split()) for r in cut.collect()} == {1: 150, 2: 71, 3: 200}
+    words = Counter()
+    for r in stage["packing"](spark, cut, path).collect():
+        words[r.doc_id] += r.n_words
+    assert words == {1: 150, 2: 71, 3: 200}
+
+
 def test_stages_take_odd_rows(spark, folder):
     path = folder[0]
     odd = [(None, None, None, None, None), (1, "", None, None, None), (2, None, "xx", "s", 4), (3, "w " * 40_000, "en", None, 80_000), (3, "w " * 40_000, "en", None, 80_000), (4, "plain", "en", "s", 5)]
