@@ -162,3 +162,39 @@ def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
     tx.train(docs, known, per_class=7)
     assert 10 < len(taken[0]) < 120 and sum(map(len, taken[0])) <= 4 * 6000 and max(map(len, taken[0])) < 6000
     assert len(taken[1]) <= 4 * 7
+
+
+def test_all_labelled_documents_take_part(spark, monkeypatch):
+    rows = [(i, f"word{i % 50} " + ("scum" if i % 40 == 0 else "fine"), "en", "s", 5) for i in range(3000)]
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i % 40 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    learnt, judged, real_fit, real_calibrated = [], [], tx.fit, tx.calibrated
+    monkeypatch.setattr(tx, "fit", lambda texts, *a, **k: learnt.append(len(texts)) or real_fit(texts, *a, **k))
+    monkeypatch.setattr(tx, "calibrated", lambda z, y, w: judged.append((len(z), set(w))) or real_calibrated(z, y, w))
+    tx.train(docs, known)
+    assert learnt[0] + judged[0][0] == 3000 and judged[0][1] == {1.0}
+
+    # the same split where tasks train, in every round
+    real_average = tx._average
+    monkeypatch.setattr(tx, "_average", lambda net, spent, done: learnt.append(sum(r.docs for r in done.collect() if r.rest is not None)) or real_average(net, spent, done))
+    tx.train(docs, known, at_once=0, chain_bytes=8000)
+    assert learnt[1:] == learnt[:1] * 8 and judged[2] == judged[0]
+
+
+def test_tasks_train_as_the_driver_does(spark, trained):
+    df, truth, _ = trained
+    labels = spark.createDataFrame([(i, t) for i, t in truth.items() if i < 1200], "doc_id long, toxic int")
+    net = tx.train(df, labels, at_once=0, chain_bytes=100_000)
+    said = {r.doc_id: r.toxic for r in tx.score(df, net).collect() if r.doc_id >= 1200}
+    assert sum(said[i] == bool(truth[i]) for i in said) / 300 > 0.95
+
+
+def test_an_embedding_is_averaged_over_the_tasks_that_moved_it(spark):
+    net, spent = tx.blank(np.random.default_rng(1))
+    rows = []
+    for docs, moved in ((10, [3]), (30, [3, 70_000])):
+        other, used = tx.blank(np.random.default_rng(1))
+        other.table[moved], used[0][moved], other.offset = docs, 2.0, float(docs)
+        rows += [r for b in tx._changes(net, spent, other, used, docs) for r in b.to_pylist()]
+    tx._average(net, spent, spark.createDataFrame(rows, tx._CHANGES))
+    assert net.table[3, 0] == 20 and net.table[70_000, 0] == 30 and np.count_nonzero(net.table) == 2 * tx.DIMS
+    assert spent[0][3, 0] == 2 and net.offset == 25
