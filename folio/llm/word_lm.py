@@ -36,8 +36,11 @@ _FILES, _CLASSES = 64, 48
 #: A word that stands before so many times a shard's share of all words is hot, and its contexts are dealt to several shards;
 #: how many candidates for that a vocabulary file names.
 _HOT, _TOP = 4.0, 256
-#: Shards for each shuffle partition, and files of a shard, by its contexts' last words; one at a time is built or read.
+#: Shards for each shuffle partition, and parts of a shard, by its contexts' last words; one file at a time is built or read.
 _SHARDS, _PARTS_OF_SHARD = 2, 8
+#: n-grams of one last word in a file, about, where a corpus is scored by its own model. A word that has more in a shard is
+#: long there, and its contexts are dealt to several files by the word before.
+_LONG = 1 << 19
 
 
 def windows(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -215,18 +218,37 @@ def _without_leftovers(spark: SparkSession, job: Callable[[], object]) -> object
 
 
 class Deal:
-    """Which shard holds a context: by its last word, for hot words by the one before that as well."""
+    """Which shard holds a context, and which of its files: by the last word, for hot words (shards) and long ones (files)
+    by the one before that as well."""
 
-    def __init__(self, shards: int, hot: np.ndarray, splits: np.ndarray) -> None:
-        self.shards, self.hot, self.splits = shards, hot, splits  # hot: ids, ascending
+    def __init__(self, shards: int, hot: np.ndarray, splits: np.ndarray, long: np.ndarray, pieces: np.ndarray) -> None:
+        self.shards, self.hot, self.splits, self.long, self.pieces = shards, hot, splits, long, pieces  # hot, long: ids, ascending
 
     @staticmethod
-    def of(known: Vocabulary, shards: int, order: int) -> Deal:
+    def of(known: Vocabulary, shards: int, order: int, long: bool = False) -> Deal:
+        """long: whether n-grams of long words are to go to several files."""
         share = max(1.0, known.total / shards)
         hashes = np.array([h for h, n in known.top.items() if n > max(1.0, _HOT) * share] if order > 2 else [], np.int64).view(np.uint64)
         ids = known.ids(hashes)
         by = np.argsort(ids)
-        return Deal(shards, ids[by].astype(np.int64), np.array([math.ceil(known.top[int(h)] / share) for h in hashes.view(np.int64)], np.int64)[by])
+        deal = Deal(shards, ids[by].astype(np.int64), np.array([math.ceil(known.top[int(h)] / share) for h in hashes.view(np.int64)], np.int64)[by], *[np.zeros(0, np.int64)] * 2)
+        some = [(h, n) for h, n in known.top.items() if n > _LONG] if long and order > 2 else []
+        ids = known.ids(np.array([h for h, _ in some], np.int64).view(np.uint64)).astype(np.int64)
+        pieces = -(-np.array([n for _, n in some], np.int64) // (_LONG * deal.split(ids)))
+        by = np.argsort(ids)
+        by = by[pieces[by] > 1]
+        deal.long, deal.pieces = ids[by], pieces[by]
+        return deal
+
+    def piece(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Which file of its part each n-gram is in; ids of the last word of its context and of the one before."""
+        out = np.zeros(len(last), np.uint32)
+        if len(self.long):
+            at = np.minimum(np.searchsorted(self.long, last), len(self.long) - 1)
+            hit = np.flatnonzero(self.long[at] == last)
+            # other bits than those that choose the shard
+            out[hit] = (c.mix(before[hit].astype(np.uint64)) >> c.U64(40)).astype(np.int64) % self.pieces[at[hit]]
+        return out
 
     def split(self, ids: np.ndarray) -> np.ndarray:
         """How many shards the contexts are dealt to that end in each word."""
@@ -272,18 +294,39 @@ def _received(blobs: list[bytes], order: int) -> tuple[list[np.ndarray], list[np
     parts = [c.unpack(b) for b in blobs]
     blobs.clear()
     of = [p.pop() for p in parts]
-    first = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])
-    others = [np.concatenate([p[k] for p in parts]) for k in range(1, order)]
-    return [others[0], first, *others[1:]], of
-
-
-def _parts(columns: list[np.ndarray], shards: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """The n-grams of each part of a shard, and which rows they are."""
-    part = (c.mix(columns[1].astype(np.uint64)) // c.U64(shards) % c.U64(_PARTS_OF_SHARD)).astype(np.uint8)
-    for k in range(_PARTS_OF_SHARD):
-        rows = np.flatnonzero(part == k)
+    others = []
+    for _ in range(1, order):
+        # what is joined goes, so that no column is there twice for long
+        others.append(np.concatenate([p.pop() for p in parts]))
+    first = np.concatenate([np.cumsum(p.pop(), dtype=np.uint32) for p in parts])
+    return [others.pop(), first, *others[::-1]], of
+
+
+def _parts(columns: list[np.ndarray], deal: Deal) -> Iterator[tuple[str, np.ndarray, list[np.ndarray]]]:
+    """The n-grams of each file of a shard, what the file is called after the shard, and which rows they are."""
+    most = int(max(deal.pieces, default=1))
+    file = np.empty(len(columns[0]), np.uint32)
+    for a in range(0, len(file), _LONG):
+        some = columns[1][a : a + _LONG]
+        part = c.mix(some.astype(np.uint64)) // c.U64(deal.shards) % c.U64(_PARTS_OF_SHARD)
+        file[a : a + _LONG] = part.astype(np.uint32) * np.uint32(most) + (deal.piece(some, columns[2][a : a + _LONG]) if most > 1 else np.uint32(0))
+    by, bounds = c.split_by(file, _PARTS_OF_SHARD * most)
+    del file
+    for k in np.flatnonzero(np.diff(bounds)):
+        rows = by[bounds[k] : bounds[k + 1]]
+        yield f"{k // most}" + (f".{k % most}" if k % most else ""), rows, [x[rows] for x in columns]
+
+
+def _pairs(columns: list[np.ndarray], model: Model) -> dict[int, str | np.ndarray]:
+    """What hot_pairs() stores, of hot words as files; of the other long words of a shard, which has all their contexts, as
+    arrays."""
+    out: dict[int, str | np.ndarray] = dict(model.pairs)
+    for word in model.deal.long.tolist():
+        rows = np.flatnonzero(columns[1] == word) if word not in out else ()
         if len(rows):
-            yield k, rows, [x[rows] for x in columns]
+            pairs = c.uniques(columns[2][rows].astype(np.uint64) << c.U64(32) | columns[0][rows].astype(np.uint64))
+            out[word] = np.stack([x.astype(np.uint32) for x in np.unique(pairs & c.U64(0xFFFFFFFF), return_counts=True)])
+    return out
 
 
 def _distinct(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -340,8 +383,8 @@ def hot_pairs(docs: DataFrame, known: Vocabulary, deal: Deal) -> None:
     _without_leftovers(spark, lambda: texts.mapInArrow(send, rows).repartitionById(shards, F.col("shard")).mapInArrow(count, rows).repartitionById(len(deal.hot), F.col("shard")).mapInArrow(store, "n long").agg(F.sum("n")).collect())
 
 
-def build(columns: list[np.ndarray], n: np.ndarray, size: int, hot: dict[int, str] | None = None) -> bytes:
-    """The file of a shard; columns and n: from _distinct; size: more than any id; hot: files of hot words, see hot_pairs."""
+def build(columns: list[np.ndarray], n: np.ndarray, size: int, hot: dict[int, str | np.ndarray] | None = None) -> bytes:
+    """A file of a shard; columns and n: from _distinct; size: more than any id; hot: of words dealt to several files, see _pairs."""
     order = len(columns)
     node, parents, labels = np.zeros(len(n), np.int64), [], []
     new = np.zeros(len(n), bool)
@@ -358,9 +401,9 @@ def build(columns: list[np.ndarray], n: np.ndarray, size: int, hot: dict[int, st
         longer = keys[k + 1]
         keys[k], values[k] = np.unique(parents[k][longer // size] * size + longer % size, return_counts=True)
     mine = np.flatnonzero(np.isin(labels[0], list(hot))) if hot else ()
-    more = {int(u): np.fromfile(hot[int(labels[0][u])], np.uint32).reshape(2, -1) for u in mine}
+    more = {int(u): np.fromfile(x, np.uint32).reshape(2, -1) if isinstance(x := hot[int(labels[0][u])], str) else x for u in mine}
     for u, (word, after) in more.items():
-        # this shard has some of the contexts only, but their shorter one whole
+        # this file has some of the contexts only, but their shorter one whole
         a, b = np.searchsorted(keys[1], (u * size, u * size + size))
         keys[1] = np.concatenate([keys[1][:a], u * size + word.astype(np.int64), keys[1][b:]])
         values[1] = np.concatenate([values[1][:a], after.astype(np.int64), values[1][b:]])
@@ -491,13 +534,13 @@ def _write(path: str, data: bytes) -> None:
     os.replace(part, path)
 
 
-def _begun(docs: DataFrame, order: int) -> Model:
+def _begun(docs: DataFrame, order: int, long: bool = False) -> Model:
     if not 2 <= order <= 5:
         raise ValueError("order must be from 2 to 5")
     folder = c.local_path(c.fresh_dir(docs.sparkSession, "word-model"))
     os.makedirs(folder, exist_ok=True)
     words = vocabulary(docs, folder)
-    deal = Deal.of(words, _SHARDS * c.partitions(docs.sparkSession), order)
+    deal = Deal.of(words, _SHARDS * c.partitions(docs.sparkSession), order, long)
     if len(deal.hot):
         hot_pairs(docs, words, deal)
     return Model(folder, order, words, deal)
@@ -520,7 +563,7 @@ def train(docs: DataFrame, order: int = 3) -> Model:
         shard, blobs = _taken(batches)
         if blobs:
             size = model.words.words + 2
-            for k, _, columns in _parts(_received(blobs, order)[0], model.shards):
+            for k, _, columns in _parts(_received(blobs, order)[0], model.deal):
                 columns, n, _ = _distinct(columns, size)
                 _write(f"{model.folder}/{shard}-{k}.trie", build(columns, n, size, model.pairs))
                 yield pa.RecordBatch.from_arrays([pa.array([len(n)])], names=["n"])
@@ -538,7 +581,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows. Words never seen in training share one word's rest.
     """
 
-    def known(name: str, columns: list[np.ndarray], _: object) -> np.ndarray:
+    def known(name: str, columns: list[np.ndarray], *_: object) -> np.ndarray:
         words, at = np.unique(columns[0], return_inverse=True)
         lower = model.words.alone(words)[at]
         path = f"{model.folder}/{name}.trie"
@@ -549,12 +592,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def scored(docs: DataFrame, order: int = 3) -> DataFrame:
     """What score(docs, train(docs, order)) gives, in one exchange of n-grams; no model stays but its vocabulary."""
-    model = _begun(docs, order)
+    # every n-gram that is looked up is in the files, so each finds the file that has its context
+    model = _begun(docs, order, long=True)
 
-    def known(name: str, columns: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    def known(name: str, columns: list[np.ndarray], n: np.ndarray, pairs: dict[int, str | np.ndarray]) -> np.ndarray:
         # a file of the task's own: another attempt at it may run at the same time
         path = f"{model.folder}/{name}-{uuid.uuid4().hex}.trie"
-        _write(path, build(columns, n, model.words.words + 2, model.pairs))
+        _write(path, build(columns, n, model.words.words + 2, pairs))
         try:
             trie = Shard(path)
             return trie.stored(model.words.alone(trie.words))
@@ -564,8 +608,9 @@ def scored(docs: DataFrame, order: int = 3) -> DataFrame:
     return _scored(docs, model, known)
 
 
-def _scored(docs: DataFrame, model: Model, known: Callable[[str, list[np.ndarray], np.ndarray], np.ndarray]) -> DataFrame:
-    """known: the probabilities of the distinct n-grams of a part of a shard, from its name, their columns and counts."""
+def _scored(docs: DataFrame, model: Model, known: Callable[[str, list[np.ndarray], np.ndarray, dict], np.ndarray]) -> DataFrame:
+    """known: the probabilities of the distinct n-grams of a file of a shard, from its name, their columns and counts, and
+    the shard's _pairs."""
     order, shards = model.order, model.shards
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -598,11 +643,12 @@ def _scored(docs: DataFrame, model: Model, known: Callable[[str, list[np.ndarray
                     yield pa.RecordBatch.from_arrays([rows, ids.values, n.values, pa.array(np.zeros(len(ids)))], schema=_PARTS)
         if not blobs:
             return
+        c.trim()  # what the tasks before this one left would stay beside what this one needs
         columns, of = _received(blobs, order)
-        bits = np.empty(len(columns[0]))
-        for k, rows, some in _parts(columns, shards):
+        bits, pairs = np.empty(len(columns[0])), _pairs(columns, model)
+        for k, rows, some in _parts(columns, model.deal):
             some, n, inverse = _distinct(some, model.words.words + 2)
-            bits[rows] = -np.log2(known(f"{shard}-{k}", some, n))[inverse]
+            bits[rows] = -np.log2(known(f"{shard}-{k}", some, n, pairs))[inverse]
         columns.clear()
         at = 0
         for base, some in zip(bases, of):

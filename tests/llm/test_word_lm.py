@@ -69,6 +69,28 @@ def test_hot_words_are_dealt_to_several_shards(spark, monkeypatch, order):
         assert all(abs(rows[i] - b) < 0.05 for i, b in want.items() if i in rows) and len(rows) in (53, 55)
 
 
+@pytest.mark.parametrize("hot", [0.2, 4.0])
+def test_long_words_are_dealt_to_several_files(spark, monkeypatch, hot):
+    monkeypatch.setattr(word_lm, "_HOT", hot)
+    monkeypatch.setattr(word_lm, "_LONG", 40)
+    rng = np.random.default_rng(4)
+    texts = [" ".join("the" if rng.random() < 0.4 else f"w{int(k)}" for k in rng.zipf(1.4, 40) % 60) for _ in range(50)] + ["the the the the the", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, brute = word_lm._begun(docs, 5, long=True), Brute([t for t in texts if t], 5)
+    assert len(model.deal.long) > 1 and model.deal.pieces.max() > 2
+    rows = {r.doc_id: r.bits_per_word for r in word_lm.scored(docs, 5).collect()}
+    assert len(rows) == len(texts) and all(abs(rows[i] - brute.bits(t)) < 0.05 for i, t in enumerate(texts) if t and i % 10 < 2)
+    # the same n-grams as a task has them: a file takes a part of those of one word only
+    ids = rng.integers(1, 9, (4000, 5))
+    ids[:3000, 1] = 3
+    columns = [x.astype(np.uint32) for x in ids.T]
+    columns[2] = rng.integers(1, 500, 4000).astype(np.uint32)
+    deal = word_lm.Deal(1, np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([3]), np.array([10]))
+    files = list(word_lm._parts(columns, deal))
+    assert sorted(np.concatenate([rows for _, rows, _ in files])) == list(range(4000)) and len({name for name, _, _ in files}) == len(files)
+    assert max((some[1] == 3).sum() for _, _, some in files) < 1000
+
+
 def test_query_knows_the_order_of_words(spark, tmp_path):
     words = [f"{i % 40:04d}-a-long-word" for i in range(400)]
     shuffled = [words[i] for i in np.random.default_rng(2).permutation(400)]
