@@ -91,6 +91,7 @@ def similarity(one: np.ndarray, others: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, a hash of the text, the packed signature and the band keys of every document that has words."""
 
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in c.slices(batch):
@@ -156,6 +157,7 @@ def _groups(signed: DataFrame, threshold: float) -> DataFrame:
     )
     filled = buckets.join(same.select("rep", "sig"), "rep").groupBy("bucket").agg(F.collect_list(F.struct("rep", "sig")).alias("found")).select("found")
 
+    @c.tidy
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a: list[int] = []

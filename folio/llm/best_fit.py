@@ -86,6 +86,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = docs.sparkSession
     shards = c.partitions(spark)
 
+    @c.tidy
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in c.slices(batch):

@@ -7,11 +7,12 @@ one target shard as compressed numpy columns, so a record costs a few bytes in t
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -91,9 +92,10 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def trim() -> None:
+def trim(collect: bool = True) -> None:
     """Give memory that is free inside this process back to the system, where the C library can."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -101,6 +103,21 @@ def trim() -> None:
         pass
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A task that gives back at its end what it has freed: a worker lives on and waits beside others for later stages,
+    whose tasks, and the JVM's, need the memory."""
+
+    @functools.wraps(run)
+    def tidied(batches: Batches) -> Batches:
+        yield from run(batches)
+        trim(collect=False)
+
+    return tidied
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {x.lower() for x in df.columns}

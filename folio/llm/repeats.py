@@ -72,15 +72,26 @@ def windows(docs: DataFrame, width: int, key_of: Callable[[np.ndarray], Columns]
     """Every window of ``width`` words of every document, packed for the shard of its text."""
     shards = shards or c.partitions(docs.sparkSession)
 
+    def rows(part: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+        # columns go as soon as they have been used, and all of them before the next slice
+        offsets, codes, words = c.word_codes(part.column("text"))
+        at = c.starts_of_windows(offsets, width)
+        if not len(at):
+            return iter(())
+        hashes = c.hash_words(words)[codes]
+        del codes, words
+        keys, spread = key_of(hashes)
+        del hashes
+        keys = keys[at]
+        spread = spread[at]
+        return pack_windows(part.column("doc_id").to_numpy(), offsets, at, keys, spread, shards)
+
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in c.slices(batch, most=slice_bytes(shards)):
-                offsets, codes, words = c.word_codes(part.column("text"))
-                at = c.starts_of_windows(offsets, width)
-                if len(at):
-                    keys, spread = key_of(c.hash_words(words)[codes])
-                    ids = part.column("doc_id").to_numpy()
-                    yield packed(pack_windows(ids, offsets, at, keys[at], spread[at], shards))
+                if (found := packed(rows(part))).num_rows:
+                    yield found
 
     return searched(docs).mapInArrow(run, PACKED)
 
@@ -142,6 +153,7 @@ def classes(key: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray)
 def runs(found: DataFrame, width: int, shards: int | None = None) -> DataFrame:
     """Neighbouring repeated windows that follow one original become one maximal span. shards: of ``found``."""
 
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for batch in batches for x in batch.column("rows").to_pylist()]
         if not blobs:
@@ -211,6 +223,7 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     joined = docs.join(per, F.col("doc_id").cast("long") == F.col(doc_name), "left").drop(doc_name)
     schema = docs.schema
 
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cuts = batch.column(cuts_name)

@@ -99,6 +99,7 @@ def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     shards = c.partitions(spark)
     suffixes = r.windows(docs, min_words, lambda words: r.fingerprints(words, min_words))
 
+    @c.tidy
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family()
         for batch in batches:

@@ -215,6 +215,7 @@ def fit_rows(rows: DataFrame, chains: int, epochs: int = 8, batch: int = 64, rat
     for k in range(epochs):
         shared = spark.sparkContext.broadcast((net, spent, rare))
 
+        @c.tidy
         def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
             old, old_spent, rare = shared.value
             net, spent = copy.deepcopy((old, old_spent))  # other tasks begin from these too
@@ -240,6 +241,7 @@ _CODED = "docs long, toxic long, seen binary, part binary"
 _CHANGES = "docs long, rows binary, rest binary"
 
 
+@c.tidy
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What epoch() needs, a row for each slice; last, how many of the documents have each feature."""
     row = lambda *x: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(x, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["docs", "toxic", "seen", "part"])
@@ -403,6 +405,7 @@ def logits(rows: DataFrame, net: Net) -> DataFrame:
     """lang, toxic and z, what the net says before any threshold, of each row."""
     model = rows.sparkSession.sparkContext.broadcast(net)
 
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
         for batch in batches:
@@ -415,6 +418,7 @@ def logits(rows: DataFrame, net: Net) -> DataFrame:
 def _over(net: Net, docs: DataFrame, schema: str | object, emit) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(net)
 
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
         for batch in batches:

@@ -1,6 +1,9 @@
 """Repeated spans against a dictionary of all windows."""
 
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -143,3 +146,36 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(1, text), (2, "zz " + text)], "doc_id long, text string")
     a, b = (sorted(map(tuple, f(df, 50).collect())) for f in (suffix_family.repeated_spans, block_anchors.repeated_spans))
     assert a == b and sum(s[3] for s in a if s[0] == 2) >= 119_000
+
+
+_HELD = """
+import re
+import numpy as np, pyarrow as pa
+from folio.llm import common, repeats
+
+class Rows:
+    def mapInArrow(self, run, schema):
+        return run
+
+def anon():
+    return int(re.search(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+repeats.searched = lambda docs: docs
+run = repeats.windows(Rows(), 50, lambda words: repeats.fingerprints(words, 50), 51)
+rng = np.random.default_rng(3)
+texts = [" ".join(f"w{k}" for k in rng.integers(0, 50_000, 1000)) for _ in range(2600)]
+batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": texts})
+del texts
+common.trim()
+before = anon()
+windows = sum(len(repeats.unpack_windows(x)[0]) for out in run([batch]) for x in out.column("rows").to_pylist())
+assert windows == 2600 * 951, windows
+print(anon() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read here")
+def test_a_worker_gives_back_what_a_task_took():
+    run = subprocess.run([sys.executable, "-c", _HELD], capture_output=True, text=True, timeout=120)
+    assert not run.returncode, run.stderr
+    assert float(run.stdout) < 40
