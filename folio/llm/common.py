@@ -11,6 +11,7 @@ import functools
 import gc
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on. Bounds a worker's memory; results don't depend on it.
 SLICE_BYTES = 4 << 20
+#: For slices whose rows are dealt to many shards: text bytes for each shard, and text bytes at most.
+SHARD_BYTES, MOST_SLICE_BYTES = 16 << 10, 16 << 20
 
 U64 = np.uint64
 
@@ -146,18 +149,53 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         yield batch.slice(a, b - a)
 
 
+def slice_bytes(shards: int) -> int:
+    """Text bytes of a slice that is dealt to so many shards: each slice makes a row for each shard, and rows that don't
+    grow with the shards would make work that grows as the square of the input."""
+    return min(max(SLICE_BYTES, shards * SHARD_BYTES), MOST_SLICE_BYTES)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` text bytes, which go over batches: those of short texts are small."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, column, most):
+            # empty texts count too
+            n = (pc.sum(pc.binary_length(part.column(column))).as_py() or 0) + 8 * part.num_rows
+            if held and size + n > 2 * most:
+                yield _joined(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+            if size >= most // 2:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """White-space words of each text: offsets (n+1), one code for each word, and the words the codes stand for."""
+    offsets, codes, words = coded_words(texts)
+    return offsets, codes, words.to_pylist()
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.LargeStringArray]:
+    """word_codes, with the words as Arrow has them."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     parts = pc.utf8_split_whitespace(texts)
     flat, offsets = parts.flatten(), parts.offsets.to_numpy()
     offsets = offsets - offsets[0]
     if not len(flat):
-        return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32), []
+        return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32), pa.array([], pa.large_string())
     coded = flat.dictionary_encode()
-    codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-    if "" in words:  # white space at either end of a text leaves an empty word
-        real = codes != words.index("")
+    codes, words = coded.indices.to_numpy(), coded.dictionary
+    if (none := pc.index(words, pa.scalar("", pa.large_string())).as_py()) >= 0:  # white space at either end of a text leaves an empty word
+        real = codes != none
         before = np.concatenate([[0], np.cumsum(real)])
         codes, offsets = codes[real], before[offsets]
     return offsets.astype(np.int64), codes, words
@@ -175,6 +213,16 @@ def hash_words(words: list[str], seed: int = 0) -> np.ndarray:
     return np.fromiter((h(w, seed) for w in words), U64, len(words))
 
 
+def hash_strings(words: pa.LargeStringArray) -> np.ndarray:
+    """hash_words of words as Arrow has them, without a Python string of each."""
+    _, offsets, data = words.buffers()
+    if not len(words) or data is None:
+        return hash_words(words.to_pylist())
+    h, data = xxhash.xxh3_64_intdigest, data.to_pybytes()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    return np.fromiter((h(data[a:b]) for a, b in zip(ends, ends[1:])), U64, len(words))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> U64(33))
@@ -236,11 +284,19 @@ def uniques(x: np.ndarray) -> np.ndarray:
 
 
 _MAGIC = "<u4"
+_of_thread = threading.local()
+
+
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """Made once in a thread: for a small row, making them takes longer than their work."""
+    if not hasattr(_of_thread, "zstd"):
+        _of_thread.zstd = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    return _of_thread.zstd
 
 
 def pack(*columns: np.ndarray) -> bytes:
     """Columns as zstd frames; sort a column beforehand and pass differences where that shrinks it."""
-    z = zstandard.ZstdCompressor(level=1)
+    z = _zstd()[0]
     out = []
     for c in columns:
         # bytes of one significance lie together, which is what the entropy coder needs
@@ -252,7 +308,7 @@ def pack(*columns: np.ndarray) -> bytes:
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    z, at, out = zstandard.ZstdDecompressor(), 0, []
+    z, at, out = _zstd()[1], 0, []
     while at < len(blob):
         h, c = np.frombuffer(blob, _MAGIC, 2, at)
         at += 8

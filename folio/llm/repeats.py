@@ -63,11 +63,6 @@ def searched(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
-def slice_bytes(shards: int) -> int:
-    """Text that one packed row of each shard is made of: more where there are more shards, four times as much at most."""
-    return min(4 * c.SLICE_BYTES, max(c.SLICE_BYTES, shards << 14))
-
-
 def windows(docs: DataFrame, width: int, key_of: Callable[[np.ndarray], Columns], shards: int | None = None) -> DataFrame:
     """Every window of ``width`` words of every document, packed for the shard of its text."""
     shards = shards or c.partitions(docs.sparkSession)
@@ -89,7 +84,7 @@ def windows(docs: DataFrame, width: int, key_of: Callable[[np.ndarray], Columns]
     @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in c.slices(batch, most=slice_bytes(shards)):
+            for part in c.slices(batch, most=c.slice_bytes(shards)):
                 if (found := packed(rows(part))).num_rows:
                     yield found
 

@@ -16,6 +16,7 @@ import math
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,11 @@ from folio.llm.elias_fano import Sequence, encode
 DISCOUNT = 0.75
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROWS = pa.schema([("shard", pa.int32()), ("rows", pa.binary())])
-_PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("bits", pa.float64())])
+#: What comes back from the shards: of a slice of documents either their ids and numbers of words, or packed sums of some.
+_PARTS = pa.schema([("to", pa.int32()), ("base", pa.int64()), ("rows", pa.binary()), ("ids", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+_SUMS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("bits", pa.float64())])
+#: Packed rows in an Arrow batch.
+_BATCH = 256
 #: Files of the vocabulary at most; classes of words, by the powers of two in their counts, of which the commonest come first.
 _FILES, _CLASSES = 64, 48
 #: A word that stands before so many times a shard's share of all words is hot, and its contexts are dealt to several shards;
@@ -46,8 +51,8 @@ _LONG = 1 << 19
 def windows(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Offsets of texts; columns of codes: each word, the word before it and so on; the hash of each code. The last
     code, with hash 0, stands before a text."""
-    offsets, codes, words = c.word_codes(texts)
-    hashes = np.append(np.maximum(c.hash_words(words), c.U64(1)), c.U64(0))
+    offsets, codes, words = c.coded_words(texts)
+    hashes = np.append(np.maximum(c.hash_strings(words), c.U64(1)), c.U64(0))
     lengths = np.diff(offsets)
     at = np.arange(len(codes)) + np.repeat(np.arange(1, len(lengths) + 1) * (order - 1), lengths)
     padded = np.full(len(codes) + len(lengths) * (order - 1), len(words), np.int32)
@@ -134,15 +139,14 @@ def vocabulary(docs: DataFrame, folder: str) -> Vocabulary:
     files = min(shards, _FILES)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in c.slices(batch):
-                _, (word, before), hashes = windows(part.column("text"), 2)
-                if not len(word):
-                    continue
-                key, n = np.unique(before.astype(np.int64) * len(hashes) + word, return_counts=True)
-                before, word = key // len(hashes), key % len(hashes)
-                by, bounds = c.split_by((c.mix(hashes[before] * c.U64(3) + hashes[word]) % c.U64(shards)).astype(np.int64), shards)
-                yield _rows(_coded(by, bounds, hashes, [before, word], c.narrow(n), shards))
+        for part in c.gathered(batches, c.slice_bytes(shards)):
+            _, (word, before), hashes = windows(part.column("text"), 2)
+            if not len(word):
+                continue
+            key, n = np.unique(before.astype(np.int64) * len(hashes) + word, return_counts=True)
+            before, word = key // len(hashes), key % len(hashes)
+            by, bounds = c.split_by((c.mix(hashes[before] * c.U64(3) + hashes[word]) % c.U64(shards)).astype(np.int64), shards)
+            yield _rows(_coded(by, bounds, hashes, [before, word], c.narrow(n), shards))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, blobs = _taken(batches)
@@ -197,13 +201,13 @@ def vocabulary(docs: DataFrame, folder: str) -> Vocabulary:
 
 def _coded(by: np.ndarray, bounds: np.ndarray, hashes: np.ndarray, columns: list[np.ndarray], n: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
     """Pairs for each shard: the hashes they use, codes for these (the first column ascends), and how many of each."""
+    code = np.empty(len(hashes), np.int64)
     for s in range(shards):
         m = by[bounds[s] : bounds[s + 1]]
         if len(m):
-            used = np.zeros(len(hashes), bool)
-            for x in columns:
-                used[x[m]] = True
-            code = np.cumsum(used) - 1
+            # by what the shard gets, not by all hashes of the slice
+            used = c.uniques(np.concatenate([x[m] for x in columns]))
+            code[used] = np.arange(len(used))
             yield s, c.pack(hashes[used], c.narrow(np.diff(code[columns[0][m]], prepend=0)), c.narrow(code[columns[1][m]]), n[m])
 
 
@@ -331,14 +335,29 @@ def _pairs(columns: list[np.ndarray], model: Model) -> dict[int, str | np.ndarra
 
 def _distinct(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Distinct n-grams in the order of contexts read backwards, then the word; how many of each; where each row is."""
-    key = columns[1].astype(np.int64)
+    key, most = columns[1].astype(np.int64), size
     for x in [*columns[2:], columns[0]]:
-        kinds, key = np.unique(key, return_inverse=True)
-        key = key * size + x
-    _, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        if most * size >= 1 << 63:
+            # places among what there is take fewer bits, and leave room for another id
+            _, key, n = _grouped(key)
+            most = len(n)
+        key, most = key * size + x, most * size
+    first, inverse, n = _grouped(key)
     return [x[first] for x in columns], n, inverse
 
 
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct key, ascending, a row that has it; which of them each row has; how many rows have each."""
+    by = np.argsort(key)
+    at = key[by]
+    new = np.ones(len(key), bool)
+    np.not_equal(at[1:], at[:-1], out=new[1:])
+    inverse = np.empty(len(key), np.int64)
+    inverse[by] = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    return by[begin], inverse, np.diff(np.append(begin, len(key)))
+
+
 def hot_pairs(docs: DataFrame, known: Vocabulary, deal: Deal) -> None:
     """Of each hot word a file in the vocabulary's folder: the words after it and before how many different words each such
     pair stands after. No shard has all contexts of such a word, so none could count them. Pairs are dealt by both words, and
@@ -346,17 +365,16 @@ def hot_pairs(docs: DataFrame, known: Vocabulary, deal: Deal) -> None:
     spark, shards = docs.sparkSession, deal.shards
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in c.slices(batch):
-                _, (word, last, before), hashes = windows(part.column("text"), 3)
-                ids = known.ids(hashes)
-                m = np.flatnonzero((deal.split(ids) > 1)[last])
-                if len(m):
-                    (before, last, word), _, _ = _distinct([before[m], last[m], word[m]], len(ids))
-                    spread = c.mix(ids[last].astype(np.uint64) << c.U64(32) | ids[word].astype(np.uint64)) % c.U64(shards)
-                    by, bounds = c.split_by(spread.astype(np.int64), shards)
-                    mine = [by[bounds[s] : bounds[s + 1]] for s in range(shards)]
-                    yield _rows((s, c.pack(*(ids[x[at]] for x in (last, word, before)))) for s, at in enumerate(mine) if len(at))
+        for part in c.gathered(batches, c.slice_bytes(shards)):
+            _, (word, last, before), hashes = windows(part.column("text"), 3)
+            ids = known.ids(hashes)
+            m = np.flatnonzero((deal.split(ids) > 1)[last])
+            if len(m):
+                (before, last, word), _, _ = _distinct([before[m], last[m], word[m]], len(ids))
+                spread = c.mix(ids[last].astype(np.uint64) << c.U64(32) | ids[word].astype(np.uint64)) % c.U64(shards)
+                by, bounds = c.split_by(spread.astype(np.int64), shards)
+                mine = [by[bounds[s] : bounds[s + 1]] for s in range(shards)]
+                yield _rows((s, c.pack(*(ids[x[at]] for x in (last, word, before)))) for s, at in enumerate(mine) if len(at))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, blobs = _taken(batches)
@@ -555,9 +573,8 @@ def train(docs: DataFrame, order: int = 3) -> Model:
     model = _begun(docs, order)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in c.slices(batch):
-                yield _rows(_grams(part.column("text"), order, model.words, model.deal)[1])
+        for part in c.gathered(batches, c.slice_bytes(model.shards)):
+            yield _rows(_grams(part.column("text"), order, model.words, model.deal)[1])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, blobs = _taken(batches)
@@ -613,22 +630,27 @@ def _scored(docs: DataFrame, model: Model, known: Callable[[str, list[np.ndarray
     the shard's _pairs."""
     order, shards = model.order, model.shards
 
+    back = c.partitions(docs.sparkSession)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, task = 0, TaskContext.get().partitionId()
         names = ["shard", "rows", "base", "ids", "n"]
-        none = pa.nulls(1, pa.list_(pa.int64()))
-        for batch in batches:
-            for part in c.slices(batch):
-                offsets, packed = _grams(part.column("text"), order, model.words, model.deal)
-                base = (task << 40) + row
-                for s, blob in packed:
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary()), pa.array([base]), none, none], names=names)
-                # one row has the ids and the numbers of words
-                absent = pc.is_null(part.column("text")).to_numpy(zero_copy_only=False)
-                n = pa.array(np.diff(offsets), pa.int64(), mask=absent)
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (part.column("doc_id"), n)]
-                yield pa.RecordBatch.from_arrays([pa.array([(base + task) % shards], pa.int32()), pa.nulls(1, pa.binary()), pa.array([base]), *lists], names=names)
-                row += part.num_rows
+
+        def dealt(some: list[tuple[int, bytes]], base: int) -> pa.RecordBatch:
+            none = pa.nulls(len(some), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([*_rows(some).columns, pa.array([base] * len(some), pa.int64()), none, none], names=names)
+
+        for part in c.gathered(batches, c.slice_bytes(shards)):
+            offsets, packed = _grams(part.column("text"), order, model.words, model.deal)
+            base = (task << 40) + row
+            while some := list(islice(packed, _BATCH)):
+                yield dealt(some, base)
+            # one row has the ids and the numbers of words
+            absent = pc.is_null(part.column("text")).to_numpy(zero_copy_only=False)
+            n = pa.array(np.diff(offsets), pa.int64(), mask=absent)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (part.column("doc_id"), n)]
+            yield pa.RecordBatch.from_arrays([pa.array([(base + task) % shards], pa.int32()), pa.nulls(1, pa.binary()), pa.array([base]), *lists], names=names)
+            row += part.num_rows
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, blobs, bases = -1, [], []
@@ -639,8 +661,8 @@ def _scored(docs: DataFrame, model: Model, known: Callable[[str, list[np.ndarray
                     blobs.append(blob.as_py())
                     bases.append(base.as_py())
                 else:
-                    rows = pa.array(base.as_py() + np.arange(len(ids)), pa.int64())
-                    yield pa.RecordBatch.from_arrays([rows, ids.values, n.values, pa.array(np.zeros(len(ids)))], schema=_PARTS)
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(x.values)], pa.int32()), x.values) for x in (ids, n)]
+                    yield pa.RecordBatch.from_arrays([to([base.as_py()]), pa.array([base.as_py()]), pa.nulls(1, pa.binary()), *lists], schema=_PARTS)
         if not blobs:
             return
         c.trim()  # what the tasks before this one left would stay beside what this one needs
@@ -650,16 +672,46 @@ def _scored(docs: DataFrame, model: Model, known: Callable[[str, list[np.ndarray
             some, n, inverse = _distinct(some, model.words.words + 2)
             bits[rows] = -np.log2(known(f"{shard}-{k}", some, n, pairs))[inverse]
         columns.clear()
-        at = 0
-        for base, some in zip(bases, of):
-            sums, n = np.bincount(some, bits[at : at + len(some)]), np.bincount(some)
-            at += len(some)
-            row = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(base + row), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int64()), pa.array(sums[row])], schema=_PARTS)
+        ends = np.cumsum([len(x) for x in of])
+        for a in range(0, len(bases), _BATCH):
+            some = bases[a : a + _BATCH]
+            sums = [_summed(x, bits[end - len(x) : end]) for x, end in zip(of[a : a + _BATCH], ends[a : a + _BATCH])]
+            none = pa.nulls(len(some), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([to(some), pa.array(some, pa.int64()), pa.array(sums, pa.binary()), none, none], schema=_PARTS)
+
+    def to(bases: list[int]) -> pa.Array:
+        return pa.array((c.mix(np.array(bases, np.uint64)) % c.U64(back)).astype(np.int32))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents of some slices, each with the sum of what all shards have of it."""
+        sums: dict[int, np.ndarray] = {}
+        rows: dict[int, tuple[pa.Array, pa.Array]] = {}
+        for batch in batches:
+            for base, blob, ids, n in zip(*(batch.column(k) for k in ("base", "rows", "ids", "n"))):
+                base = base.as_py()
+                if not blob.is_valid:
+                    # a copy, or all of its batch would stay
+                    rows[base] = tuple(x.values.take(pa.array(np.arange(len(x.values)))) for x in (ids, n))
+                    continue
+                row, bits = c.unpack(blob.as_py())
+                row = np.cumsum(row, dtype=np.int64)
+                if len(held := sums.get(base, bits[:0])) <= row[-1]:
+                    held = sums[base] = np.append(held, np.zeros(int(row[-1]) + 1 - len(held)))
+                held[row] += bits
+        for base, (ids, n) in rows.items():
+            bits = sums.pop(base, np.zeros(0))
+            yield pa.RecordBatch.from_arrays([ids, n, pa.array(np.append(bits, np.zeros(len(ids) - len(bits))))], schema=_SUMS)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = rows.mapInArrow(send, "shard int, rows binary, base long, ids array<long>, n array<long>")
     # the number of shards is the model's, whatever the session has now
-    parts = sent.repartitionById(shards, F.col("shard")).mapInArrow(look, "row long, doc_id long, n_words long, bits double")
-    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("bits").alias("bits"))
+    parts = sent.repartitionById(shards, F.col("shard")).mapInArrow(look, "to int, base long, rows binary, ids array<long>, n array<long>")
+    sums = parts.repartitionById(back, F.col("to")).mapInArrow(whole, "doc_id long, n_words long, bits double")
     return sums.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("bits") / F.col("n_words")).alias("bits_per_word"))
+
+
+def _summed(of: np.ndarray, bits: np.ndarray) -> bytes:
+    """The sums by text of what a shard has of a slice: distances of the texts, and sums."""
+    sums, n = np.bincount(of, bits), np.bincount(of)
+    row = np.flatnonzero(n)
+    return c.pack(c.narrow(np.diff(row, prepend=0)), sums[row])

@@ -5,10 +5,12 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from folio.llm import common as c
 from folio.llm import queries, word_lm
 from folio.llm.elias_fano import Sequence, encode
 
@@ -129,6 +131,51 @@ def test_a_corpus_by_its_own_model(spark, order):
             assert abs(one[repr(k)].bits_per_word - brute.bits(texts[k])) < 0.05
 
 
+def test_rows_of_the_exchanges_grow_no_faster_than_the_input(spark):
+    # neither a row for each batch and shard nor one for each document and shard
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{int(k)}" for k in rng.integers(0, 300, 40)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jobs = {x.jobId() for x in _all(store.jobsList(None))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert len(word_lm.scored(docs, 3).collect()) == 400
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for x in _all(store.jobsList(None)) if x.jobId() not in jobs for s in _all(x.stageIds())}
+    assert stages and 0 < sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 100
+
+
+def _all(seq):
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def test_distinct_of_few_and_of_many_ids():
+    rng = np.random.default_rng(8)
+    for size in (9, 1 << 13, 1 << 21, (1 << 32) - 1):
+        some = np.sort(rng.integers(0, size, 6))
+        columns = [some[rng.integers(0, 6, 5000)].astype(np.uint32) for _ in range(5)]
+        got, n, inverse = word_lm._distinct(columns, size)
+        want, count = np.unique(np.stack([*columns[1:], columns[0]], axis=1), axis=0, return_counts=True)
+        assert (np.stack([*got[1:], got[0]], axis=1) == want).all() and (n == count).all()
+        assert all((x[inverse] == y).all() for x, y in zip(got, columns))
+
+
+def test_slices_go_over_batches_and_grow_with_the_shards():
+    assert c.slice_bytes(10) == c.SLICE_BYTES < c.slice_bytes(500) < c.slice_bytes(5000) == c.slice_bytes(50_000) == c.MOST_SLICE_BYTES
+    texts = ["", None, "ab", "c" * 30, "d" * 5000, "e", *["f" * 10] * 300]
+    batches = [pa.RecordBatch.from_pydict({"k": [i], "text": pa.array([t], pa.string())}) for i, t in enumerate(texts)]
+    got = list(c.gathered(iter(batches), 1000))
+    assert [k for b in got for k in b.column("k").to_pylist()] == list(range(len(texts))) and len(got) < 20
+    assert [t for b in got for t in b.column("text").to_pylist()] == texts
+    words = pa.array(["", "a", "ñandú", "über", "a"], pa.large_string())
+    for some in (words, words[1:4], words[:0], words[:1]):
+        assert (c.hash_strings(some) == c.hash_words(some.to_pylist())).all()
+
+
 def test_probabilities_sum_to_one(spark):
     texts = [t for t in TEXTS if t and t.strip()]
     corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
